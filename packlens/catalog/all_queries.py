@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from packlens.catalog import compliance
+from packlens.catalog import casework, compliance
 from packlens.catalog.registry import Query
 
-MODULES = (compliance,)
+MODULES = (compliance, casework)
 
 
 def all_queries() -> dict[str, Query]:

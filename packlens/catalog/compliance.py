@@ -82,7 +82,7 @@ def validate_typed(spark, sf_dir):
 @R.add("numeral_tier", with_views("SELECT scan_id, required_mm, basis FROM tiered", "tiered"))
 def numeral_tier(spark, sf_dir):
     return rules.with_tiers(star.declarations(spark, sf_dir)).select(
-        "scan_id", F.col("__required_mm").alias("required_mm"), F.col("__basis").alias("basis"))
+        "scan_id", "required_mm", F.col("tier_basis").alias("basis"))
 
 
 @R.add("numeral_tier_range_join", with_views("SELECT scan_id, required_mm FROM tiered", "tiered"))

@@ -257,11 +257,50 @@ GS1 = ("SELECT * FROM (VALUES " + ", ".join(f"({quote(k)}, {quote(v)})" for k, v
 ACTIONS = f"""
 SELECT event_id, event_id % (SELECT count(*) FROM orders) AS scan_id, ({sql_list(fv.RULE_IDS)})[CAST(event_id % 10 AS INTEGER) + 1] AS rule_id,
   CASE event_type WHEN 'click' THEN 'attest' WHEN 'error' THEN 'dispute' WHEN 'view' THEN 'withdraw' WHEN 'purchase' THEN 'confirm' WHEN 'signup' THEN 'override' END AS action,
-  CASE WHEN event_id % 3 <> 0 THEN 'seen ' || event_id END AS observed, CAST(user_id AS VARCHAR) AS by,
+  CASE WHEN event_id % 3 <> 0 THEN 'seen ' || event_id END AS observed, CAST(user_id AS VARCHAR) AS officer,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE 'note ' || event_id END AS notes,
-  CASE WHEN user_id % 2 = 0 THEN 'admin' ELSE 'officer' END AS role, ts AS at, value FROM events
+  CASE WHEN user_id % 2 = 0 THEN 'admin' ELSE 'officer' END AS role, ts AS acted, value FROM events
 """
 
+SCANS = """
+SELECT v.scan_id, v.owner_id, v.created_at, t.ocr_text, v.ocr_confidence, v.verdict, v.verdict = 'COMPLIANT' AS compliant,
+  CASE WHEN v.scan_id % 4 = 1 THEN 'final' ELSE 'pending_review' END AS status,
+  CASE v.scan_id % 3 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'florence-2' ELSE 'tesseract+merge3' END AS ocr_engine,
+  CASE WHEN v.scan_id % 10 <> 0 THEN generic_name END AS product_name, CASE WHEN v.scan_id % 10 <> 1 THEN manufacturer_name END AS brand_name,
+  CASE v.scan_id % 5 WHEN 0 THEN 'food' WHEN 1 THEN '' WHEN 2 THEN ' home ' END AS category,
+  CASE WHEN v.scan_id % 6 <> 0 THEN (v.scan_id * 7 % 2000) / 10 - 100 END AS scan_lat,
+  CASE WHEN v.scan_id % 8 <> 0 THEN (v.scan_id * 13 % 4001) / 11 - 182 END AS scan_lon,
+  CASE WHEN v.scan_id % 4 = 1 THEN 'officer' || (v.scan_id % 20) END AS reviewed_by,
+  CASE WHEN v.scan_id % 4 = 1 THEN v.created_at + INTERVAL 26 HOUR END AS reviewed_at,
+  CASE WHEN v.scan_id % 8 = 1 THEN 'seen on pack' ELSE '' END AS review_notes, v.scan_id % 8 = 1 AS overridden,
+  min_numeral_height_mm AS font_height_mm
+FROM verdicts v JOIN label_text t ON v.scan_id = t.scan_id
+"""
+
+# Officer actions folded to the last one per scan and rule, against the machine findings.
+OVERLAYS = f"""
+SELECT a.scan_id, a.rule_id, CASE WHEN action = 'attest' THEN 'PASS' ELSE 'FAIL' END AS status, action = 'attest' AS has_observed,
+  CASE WHEN action = 'attest' THEN COALESCE(a.observed, f.observed) END AS observed, a.officer, a.acted
+FROM (SELECT * FROM actions WHERE action IN ('attest', 'dispute', 'withdraw') AND rule_id IN {sql_in(fv.RULE6_IDS)}
+      QUALIFY row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY acted DESC, event_id DESC) = 1) a
+JOIN findings f ON a.scan_id = f.scan_id AND a.rule_id = f.rule_id
+WHERE NOT (action <> 'attest' AND f.status <> 'PASS')
+"""
+
+OVERLAID = f"""
+SELECT a.scan_id, a.rule_order, a.rule_id, COALESCE(o.status, a.status) AS status, a.severity, a.expected, a.remedy,
+  CASE WHEN o.has_observed THEN o.observed ELSE a.observed END AS observed,
+  CASE WHEN o.rule_id IS NULL THEN a.message ELSE trim(a.message || ' [officer-verified]') END AS message,
+  CASE o.status WHEN 'PASS' THEN 'attested' WHEN 'FAIL' THEN 'disputed' ELSE a.cause END AS cause,
+  CASE o.status WHEN 'PASS' THEN '' WHEN 'FAIL' THEN {quote(fv.DISPUTED_WHY)} ELSE a.why END AS why,
+  CASE o.status WHEN 'PASS' THEN '' WHEN 'FAIL' THEN {quote(' | '.join(fv.DISPUTED_STEPS))} ELSE a.steps END AS steps,
+  CASE WHEN o.rule_id IS NULL THEN 0 ELSE 1 END AS manual
+FROM annotated a LEFT JOIN overlays o ON a.scan_id = o.scan_id AND a.rule_id = o.rule_id
+"""
+
+SHORT_RULES = ("SELECT * FROM (VALUES " + ", ".join(
+    f"({quote(r)}, {quote(ref)}, {quote(req)})" for r, (ref, req) in fv.RULE_LABELS.items()) + ") t(rule_id, ref, requirement)")
+
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "declarations": (DECLARATIONS, ()),
     "tiered": (TIERED, ("declarations",)),
@@ -279,19 +318,24 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "gs1": (GS1, ()),
     "catalog": (CATALOG, ()),
     "actions": (ACTIONS, ()),
+    "scans": (SCANS, ("verdicts", "label_text")),
+    "overlays": (OVERLAYS, ("actions", "findings")),
+    "overlaid": (OVERLAID, ("annotated", "overlays")),
+    "short_rules": (SHORT_RULES, ()),
 }
 
 
-def with_views(body: str, *names: str) -> str:
+def with_views(body: str, *names: str, replaced: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> str:
     """``body`` preceded by the named views and whatever they depend on."""
+    views = {**VIEWS, **(replaced or {})}
     order: list[str] = []
 
     def visit(name: str) -> None:
-        for dep in VIEWS[name][1]:
+        for dep in views[name][1]:
             visit(dep)
         if name not in order:
             order.append(name)
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][0].strip()})" for n in order) + "\n" + body.strip()
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({views[n][0].strip()})" for n in order) + "\n" + body.strip()

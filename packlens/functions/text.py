@@ -103,11 +103,12 @@ def float_text(value: Column) -> Column:
 def short_number(value: Column) -> Column:
     """Six significant digits without trailing zeros (the ``%g`` form)."""
     raw = F.format_string("%.6g", value.cast("double"))
-    return F.when(raw.contains("."), F.regexp_replace(raw, r"\.?0+(e|$)", "$1")).otherwise(raw)
+    bare = F.when(raw.contains("."), F.regexp_replace(raw, r"\.?0+(e|$)", "$1")).otherwise(raw)
+    return F.when(value.isNotNull(), bare)
 
 
 def two_decimals(value: Column) -> Column:
-    return F.format_string("%.2f", F.rint(value * 100) / 100)
+    return F.when(value.isNotNull(), F.format_string("%.2f", F.rint(value * 100) / 100))
 
 
 def cap_observed(text: Column) -> Column:

@@ -10,23 +10,21 @@ from pyspark.sql import functions as F
 
 from packlens import fixed_values as fv
 from packlens.functions.text import short_number
-from packlens.operators.rules import weak_read
-
-
-def _steps(items) -> Column:
-    return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
+from packlens.operators.rules import sql_text, weak_read
 
 
 def _guide_map() -> Column:
+    """The guide as one constant map literal."""
+    def steps(items) -> str:
+        return f"array({', '.join(sql_text(i) for i in items)})" if items else "CAST(array() AS ARRAY<STRING>)"
+
     entries = []
     for rule_id, g in fv.GUIDE.items():
-        entries += [F.lit(rule_id), F.struct(
-            *[F.lit(g.get(key)).cast("string").alias(key)
-              for key in ("why_typed", "why_low", "why_clear", "why_invalid", "panel", "keyword")],
-            _steps(g.get("steps_typed", ())).alias("steps_typed"),
-            _steps(g.get("steps_invalid", ()) or (fv.VERIFY_STEP,)).alias("steps_invalid"),
-        )]
-    return F.create_map(*entries)
+        texts = [f"'{key}', {sql_text(g.get(key))}"
+                 for key in ("why_typed", "why_low", "why_clear", "why_invalid", "panel", "keyword")]
+        entries.append(f"{sql_text(rule_id)}, named_struct({', '.join(texts)}, 'steps_typed', "
+                       f"{steps(g.get('steps_typed', ()))}, 'steps_invalid', {steps(g.get('steps_invalid', ()))})")
+    return F.expr(f"map({', '.join(entries)})")
 
 
 def _fill(template: Column, **values: Column) -> Column:

@@ -1,19 +1,20 @@
 """The ten label rules as column expressions.
 
-Each rule is an ordered list of cases (condition, outcome); a rule becomes one ``when`` chain that
-yields a struct. A declaration row becomes ten findings in a single narrow projection, and the verdict
+Each rule is an ordered list of cases (SQL condition, outcome); a rule becomes one CASE that yields a
+struct. A declaration row becomes ten findings in a single narrow projection, and the verdict
 is folded from the status columns of the same row, so neither needs a shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens import fixed_values as fv
-from packlens.functions.text import cap_observed, float_text, short_number, two_decimals
+from packlens.functions.text import float_text, short_number, two_decimals
 
 FINDING_FIELDS = (
     "rule_order", "rule_id", "status", "message", "field", "citation", "citation_verified",
@@ -23,14 +24,15 @@ FINDING_FIELDS = (
 
 @dataclass(frozen=True)
 class Case:
-    when: Column | None
+    """One outcome. Texts are templates: ``{name}`` stands for a text column of ``with_tiers``."""
+
+    when: str | None
     status: str
-    message: Column | str
-    observed: Column | str
-    expected: Column | str
+    message: str
+    observed: str
+    expected: str
     citation: str | None = None
     verified: bool | None = None
-    remedy: str | None = None
 
 
 @dataclass(frozen=True)
@@ -40,20 +42,24 @@ class Rule:
     citation: str
     verified: bool
     cases: tuple[Case, ...]
-    source_ref: str = ""
-    review_when_unassessed: bool = field(default=False)
+    measured: bool = False
 
 
-def _text(value: Column | str) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
+def sql_text(value: str | None) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def present(value: Column) -> Column:
-    return value.isNotNull() & (value != "")
+def sql_template(template: str) -> str:
+    """``concat`` over the literal parts and the named text columns of a template."""
+    parts = [p for p in re.split(r"(\{\w+\})", template) if p]
+    sql = [p[1:-1] if p.startswith("{") else sql_text(p) for p in parts]
+    return sql[0] if len(sql) == 1 else f"concat({', '.join(sql)})"
 
 
-def _absent_or(low: Column | None) -> Column:
-    return low.isNull() | (low <= 0)
+def sql_set(items) -> str:
+    return "(" + ", ".join(sql_text(i) for i in items) + ")"
 
 
 def base_quantity(value: Column, unit: Column) -> Column:
@@ -102,207 +108,171 @@ def tier_basis(value: Column, unit: Column, panel: Column, embossed: Column) ->
     )
 
 
-def _mm(value: Column) -> Column:
-    return F.concat(float_text(value), F.lit("mm"))
-
-
-def _printed(title: str, height: Column, required: Column, low_suffix: Column, ok_suffix: Column):
-    good = F.concat(F.lit(title + " height "), _mm(height), F.lit(" >= "), _mm(required), ok_suffix)
-    bad = F.concat(F.lit(title + " height "), _mm(height), F.lit(" < required "), _mm(required), low_suffix)
-    return good, bad
-
-
-def rule_set(source_ref: str = fv.RULE7_SOURCE) -> list[Rule]:
-    """The rules over the declaration columns, in report order."""
-    c = F.col
-    value, unit, mrp = c("net_quantity_value"), c("net_quantity_unit"), c("mrp")
-    mfg, exp = c("mfg_date"), c("expiry_date")
-    raised = F.coalesce(c("is_embossed"), F.lit(False))
-    height = F.coalesce(c("min_numeral_height_mm"), c("min_font_height_mm"))
-    letter, ratio = c("min_letter_height_mm"), c("min_width_to_height_ratio")
-    need = c("__required_mm")
-    basis = F.concat(F.lit(" ("), c("__basis"), F.lit(")"))
-    tag = F.concat(F.lit(" ("), print_tag(raised), F.lit(")"))
-    letter_need = F.when(raised, F.lit(fv.LETTER_MM_EMBOSSED)).otherwise(F.lit(fv.LETTER_MM))
-    need_text = F.when(need.isNotNull(), F.concat(F.lit("required >= "), _mm(need))).otherwise(
-        "requirement undetermined")
-    numeral_ok, numeral_low = _printed("Numeral", height, need, basis, basis)
-    letter_ok, letter_low = _printed(
-        "Letter", letter, letter_need,
-        F.concat(F.lit(" (Rule 7(3), "), print_tag(raised), F.lit(")")), tag)
-    maker = F.concat(c("manufacturer_name"), F.lit("; "), c("manufacturer_address"))
-    month_year = "month and year of manufacture/pack/import"
-    dated = F.concat(
-        F.lit("mfg/pack "), mfg.cast("string"),
-        F.when(exp.isNotNull(), F.concat(F.lit(", expiry "), exp.cast("string"))).otherwise(", no expiry stated"))
-    ratio_text = F.concat(F.lit("Width/height ratio "), two_decimals(ratio))
-    unassessed = {"status": fv.NOT_ASSESSABLE, "remedy": fv.CALIBRATION_REMEDY}
-    return [
-        Rule(fv.R_MAKER, "manufacturer", "Rule 6(1)(a)", True, (
-            Case(present(c("manufacturer_name")) & present(c("manufacturer_address")), fv.PASS,
-                 "Manufacturer name+address present", maker, "manufacturer name + address"),
-            Case(None, fv.NOT_FOUND, "Missing manufacturer name/address (Rule 6(1)(a))", "absent",
-                 "manufacturer name + address"),
-        )),
-        Rule(fv.R_GENERIC, "generic_name", "Rule 6(1)(b)", True, (
-            Case(present(c("generic_name")), fv.PASS, "Generic name present", c("generic_name"),
-                 "generic/common name"),
-            Case(None, fv.NOT_FOUND, "Missing generic/common name (Rule 6(1)(b))", "absent",
-                 "generic/common name"),
-        )),
-        Rule(fv.R_NETQTY, "net_quantity", "Rule 6(1)(c)", True, (
-            Case(_absent_or(value) | ~F.coalesce(present(unit), F.lit(False)), fv.NOT_FOUND,
-                 "Missing/invalid net quantity (Rule 6(1)(c))", "absent", "net quantity in standard units"),
-            Case(F.lower(unit).isin(*fv.WEIGHT_VOLUME_UNITS, *fv.COUNT_LENGTH_UNITS), fv.PASS,
-                 "Net quantity present", F.concat(short_number(value), F.lit(" "), unit),
-                 "net quantity in standard units"),
-            Case(None, fv.FAIL,
-                 F.concat(F.lit("Non-standard unit '"), unit, F.lit("' (Rule 6, SI units required)")), unit,
-                 "g/kg/mg/ml/l/cm/m/nos/pc"),
-        )),
-        Rule(fv.R_MRP, "mrp", "Rule 6(1)(e)", True, (
-            Case(_absent_or(mrp), fv.NOT_FOUND, "Missing/invalid MRP (Rule 6(1)(e))", "absent",
-                 "MRP inclusive of all taxes"),
-            Case(F.coalesce(c("mrp_includes_taxes"), F.lit(False)), fv.PASS, "MRP with taxes present",
-                 F.concat(F.lit("Rs. "), float_text(mrp), F.lit(" (inclusive of all taxes)")),
-                 "MRP inclusive of all taxes", citation="Rule 6(1)(e) + Rule 2(m)"),
-            Case(None, fv.FAIL, "MRP must state 'inclusive of all taxes' (Rule 6(1)(e) + Rule 2(m) manner)",
-                 "tax phrase absent", "'inclusive of all taxes'"),
-        )),
-        Rule(fv.R_DATES, "dates", "Rule 6(1)(d)", True, (
-            Case(mfg.isNull(), fv.NOT_FOUND, "Missing manufacture/pack date (Rule 6(1)(d))", "absent",
-                 month_year),
-            Case(exp <= mfg, fv.FAIL, "Expiry date must be after manufacture date", exp.cast("string"),
-                 F.concat(F.lit("after "), mfg.cast("string"))),
-            Case(None, fv.PASS, "Date declarations valid", dated, month_year),
-        )),
-        Rule(fv.R_CARE, "consumer_care", "Rule 6(1) consumer-care proviso (post-2011 amendment)", False, (
-            Case(present(c("consumer_care")), fv.PASS, "Consumer care details present", c("consumer_care"),
-                 "customer-care contact"),
-            Case(None, fv.NOT_FOUND, "Missing customer-care name/address/contact", "absent",
-                 "customer-care contact"),
-        )),
-        Rule(fv.R_ORIGIN, "country_of_origin", "Rule 6(1)(a) importer clause", True, (
-            Case(F.coalesce(c("is_imported"), F.lit(False)) & ~F.coalesce(present(c("country_of_origin")), F.lit(False)),
-                 fv.NOT_FOUND, "Imported package must declare country of origin", "absent", "country of origin",
-                 citation="Rule 6(1)(a) importer clause (country wording: later amendment)", verified=False),
-            Case(None, fv.PASS, "Origin declaration valid",
-                 F.coalesce(F.nullif(c("country_of_origin"), F.lit("")), F.lit("domestic supply (no import claimed)")),
-                 "country of origin if imported"),
-        )),
-        Rule(fv.R_NUMERAL, "numeral", "Rule 7(2) Table-I/II", True, (
-            Case(height.isNull(), message=F.concat(F.lit("Numeral height not measured; "), need_text, basis,
-                                                   F.lit(" — cannot assess")),
-                 observed="unmeasured", expected=F.concat(need_text, basis), **unassessed),
-            Case(need.isNull(), message=F.concat(F.lit("Cannot determine Table tier"), basis,
-                                                 F.lit(" — cannot assess")),
-                 observed="unknown tier", expected="determinable tier", **unassessed),
-            Case(height >= need, fv.PASS, numeral_ok, _mm(height), F.concat(F.lit(">= "), _mm(need), basis)),
-            Case(None, fv.FAIL, numeral_low, _mm(height), F.concat(F.lit(">= "), _mm(need), basis)),
-        ), source_ref, True),
-        Rule(fv.R_LETTER, "letter", "Rule 7(3)", True, (
-            Case(letter.isNull(), message=F.concat(F.lit("Letter height not measured; required >= "),
-                                                   _mm(letter_need), F.lit(" — cannot assess")),
-                 observed="unmeasured", expected=F.concat(F.lit(">= "), _mm(letter_need)), **unassessed),
-            Case(letter >= letter_need, fv.PASS, letter_ok, _mm(letter),
-                 F.concat(F.lit(">= "), _mm(letter_need), tag)),
-            Case(None, fv.FAIL, letter_low, _mm(letter), F.concat(F.lit(">= "), _mm(letter_need), tag)),
-        ), source_ref, True),
-        Rule(fv.R_WIDTH, "width", "Rule 7(3) proviso", True, (
-            Case(ratio.isNull(), message="Glyph width not measured; required width >= 1/3 height — cannot assess",
-                 observed="unmeasured", expected="width/height >= 1/3", **unassessed),
-            Case(ratio >= fv.MIN_WIDTH_RATIO, fv.PASS, F.concat(ratio_text, F.lit(" >= 1/3")),
-                 two_decimals(ratio), ">= 0.33"),
-            Case(None, fv.FAIL,
-                 F.concat(ratio_text, F.lit(" < 1/3 (excludes numeral '1' and letters i/I/l)")),
-                 two_decimals(ratio), ">= 0.33"),
-        ), source_ref, True),
-    ]
+_UNITS = sql_set(fv.WEIGHT_VOLUME_UNITS + fv.COUNT_LENGTH_UNITS)
+_ABSENT = "absent"
+_MAKER = "manufacturer name + address"
+_GENERIC = "generic/common name"
+_STANDARD = "net quantity in standard units"
+_WITH_TAX = "MRP inclusive of all taxes"
+_MONTH_YEAR = "month and year of manufacture/pack/import"
+_CONTACT = "customer-care contact"
+_UNSEEN = "unmeasured"
+
+RULES = (
+    Rule(fv.R_MAKER, "manufacturer", "Rule 6(1)(a)", True, (
+        Case("manufacturer_name <> '' AND manufacturer_address <> ''", fv.PASS,
+             "Manufacturer name+address present", "{manufacturer_name}; {manufacturer_address}", _MAKER),
+        Case(None, fv.NOT_FOUND, "Missing manufacturer name/address (Rule 6(1)(a))", _ABSENT, _MAKER),
+    )),
+    Rule(fv.R_GENERIC, "generic_name", "Rule 6(1)(b)", True, (
+        Case("generic_name <> ''", fv.PASS, "Generic name present", "{generic_name}", _GENERIC),
+        Case(None, fv.NOT_FOUND, "Missing generic/common name (Rule 6(1)(b))", _ABSENT, _GENERIC),
+    )),
+    Rule(fv.R_NETQTY, "net_quantity", "Rule 6(1)(c)", True, (
+        Case("NOT coalesce(net_quantity_value > 0 AND net_quantity_unit <> '', false)", fv.NOT_FOUND,
+             "Missing/invalid net quantity (Rule 6(1)(c))", _ABSENT, _STANDARD),
+        Case(f"lower(net_quantity_unit) IN {_UNITS}", fv.PASS, "Net quantity present",
+             "{t_quantity} {net_quantity_unit}", _STANDARD),
+        Case(None, fv.FAIL, "Non-standard unit '{net_quantity_unit}' (Rule 6, SI units required)",
+             "{net_quantity_unit}", "g/kg/mg/ml/l/cm/m/nos/pc"),
+    )),
+    Rule(fv.R_MRP, "mrp", "Rule 6(1)(e)", True, (
+        Case("NOT coalesce(mrp > 0, false)", fv.NOT_FOUND, "Missing/invalid MRP (Rule 6(1)(e))", _ABSENT, _WITH_TAX),
+        Case("mrp_includes_taxes", fv.PASS, "MRP with taxes present", "Rs. {t_mrp} (inclusive of all taxes)", _WITH_TAX,
+             citation="Rule 6(1)(e) + Rule 2(m)"),
+        Case(None, fv.FAIL, "MRP must state 'inclusive of all taxes' (Rule 6(1)(e) + Rule 2(m) manner)",
+             "tax phrase absent", "'inclusive of all taxes'"),
+    )),
+    Rule(fv.R_DATES, "dates", "Rule 6(1)(d)", True, (
+        Case("mfg_date IS NULL", fv.NOT_FOUND, "Missing manufacture/pack date (Rule 6(1)(d))", _ABSENT, _MONTH_YEAR),
+        Case("expiry_date <= mfg_date", fv.FAIL, "Expiry date must be after manufacture date", "{t_expiry}", "after {t_mfg}"),
+        Case("expiry_date IS NOT NULL", fv.PASS, "Date declarations valid", "mfg/pack {t_mfg}, expiry {t_expiry}", _MONTH_YEAR),
+        Case(None, fv.PASS, "Date declarations valid", "mfg/pack {t_mfg}, no expiry stated", _MONTH_YEAR),
+    )),
+    Rule(fv.R_CARE, "consumer_care", "Rule 6(1) consumer-care proviso (post-2011 amendment)", False, (
+        Case("consumer_care <> ''", fv.PASS, "Consumer care details present", "{consumer_care}", _CONTACT),
+        Case(None, fv.NOT_FOUND, "Missing customer-care name/address/contact", _ABSENT, _CONTACT),
+    )),
+    Rule(fv.R_ORIGIN, "country_of_origin", "Rule 6(1)(a) importer clause", True, (
+        Case("country_of_origin <> ''", fv.PASS, "Origin declaration valid", "{country_of_origin}",
+             "country of origin if imported"),
+        Case("is_imported", fv.NOT_FOUND, "Imported package must declare country of origin", _ABSENT, "country of origin",
+             citation="Rule 6(1)(a) importer clause (country wording: later amendment)", verified=False),
+        Case(None, fv.PASS, "Origin declaration valid", "domestic supply (no import claimed)",
+             "country of origin if imported"),
+    )),
+    Rule(fv.R_NUMERAL, "numeral", "Rule 7(2) Table-I/II", True, (
+        Case("numeral_mm IS NULL", fv.NOT_ASSESSABLE, "Numeral height not measured; {t_need} ({tier_basis}) — cannot assess",
+             _UNSEEN, "{t_need} ({tier_basis})"),
+        Case("required_mm IS NULL", fv.NOT_ASSESSABLE, "Cannot determine Table tier ({tier_basis}) — cannot assess",
+             "unknown tier", "determinable tier"),
+        Case("numeral_mm >= required_mm", fv.PASS, "Numeral height {t_numeral}mm >= {t_required}mm ({tier_basis})",
+             "{t_numeral}mm", ">= {t_required}mm ({tier_basis})"),
+        Case(None, fv.FAIL, "Numeral height {t_numeral}mm < required {t_required}mm ({tier_basis})",
+             "{t_numeral}mm", ">= {t_required}mm ({tier_basis})"),
+    ), measured=True),
+    Rule(fv.R_LETTER, "letter", "Rule 7(3)", True, (
+        Case("min_letter_height_mm IS NULL", fv.NOT_ASSESSABLE,
+             "Letter height not measured; required >= {t_letter_need}mm — cannot assess", _UNSEEN, ">= {t_letter_need}mm"),
+        Case("min_letter_height_mm >= letter_need_mm", fv.PASS, "Letter height {t_letter}mm >= {t_letter_need}mm ({print_tag})",
+             "{t_letter}mm", ">= {t_letter_need}mm ({print_tag})"),
+        Case(None, fv.FAIL, "Letter height {t_letter}mm < required {t_letter_need}mm (Rule 7(3), {print_tag})",
+             "{t_letter}mm", ">= {t_letter_need}mm ({print_tag})"),
+    ), measured=True),
+    Rule(fv.R_WIDTH, "width", "Rule 7(3) proviso", True, (
+        Case("min_width_to_height_ratio IS NULL", fv.NOT_ASSESSABLE,
+             "Glyph width not measured; required width >= 1/3 height — cannot assess", _UNSEEN, "width/height >= 1/3"),
+        Case("min_width_to_height_ratio >= 1.0D / 3.0D", fv.PASS, "Width/height ratio {t_ratio} >= 1/3", "{t_ratio}", ">= 0.33"),
+        Case(None, fv.FAIL, "Width/height ratio {t_ratio} < 1/3 (excludes numeral '1' and letters i/I/l)",
+             "{t_ratio}", ">= 0.33"),
+    ), measured=True),
+)
 
 
 def _severity(rule: Rule, status: str) -> str:
     if status == fv.PASS:
         return "info"
-    if rule.review_when_unassessed and status == fv.NOT_ASSESSABLE:
+    if rule.measured and status == fv.NOT_ASSESSABLE:
         return "review"
     return "blocking"
 
 
-def _chain(cases: tuple[Case, ...], pick) -> Column:
-    *conditional, last = cases
-    expr = None
-    for case in conditional:
-        expr = F.when(case.when, pick(case)) if expr is None else expr.when(case.when, pick(case))
-    return pick(last) if expr is None else expr.otherwise(pick(last))
+def _case_sql(rule: Rule, pick) -> str:
+    arms = [f"WHEN {c.when} THEN {pick(c)}" for c in rule.cases if c.when]
+    (last,) = [c for c in rule.cases if not c.when]
+    return f"CASE {' '.join(arms)} ELSE {pick(last)} END"
 
 
 def status_of(rule: Rule) -> Column:
-    return _chain(rule.cases, lambda case: F.lit(case.status))
-
-
-def finding_struct(order: int, rule: Rule) -> Column:
-    def outcome(case: Case) -> Column:
-        observed = _text(case.observed)
-        if not rule.review_when_unassessed:
-            observed = cap_observed(observed)
-        return F.struct(
-            F.lit(order).alias("rule_order"),
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(case.status).alias("status"),
-            _text(case.message).alias("message"),
-            F.lit(rule.field).alias("field"),
-            F.lit(case.citation or rule.citation).alias("citation"),
-            F.lit(rule.verified if case.verified is None else case.verified).alias("citation_verified"),
-            observed.alias("observed"),
-            _text(case.expected).alias("expected"),
-            F.lit(_severity(rule, case.status)).alias("severity"),
-            F.lit(case.remedy).cast("string").alias("remedy"),
-            F.lit(rule.source_ref).alias("source_ref"),
+    return F.expr(_case_sql(rule, lambda c: sql_text(c.status)))
+
+
+def finding_sql(order: int, rule: Rule, source_ref: str) -> str:
+    def outcome(case: Case) -> str:
+        observed = sql_template(case.observed)
+        if not rule.measured and "{" in case.observed:
+            observed = f"if(length({observed}) > 160, concat(substring({observed}, 1, 157), '...'), {observed})"
+        remedy = fv.CALIBRATION_REMEDY if case.status == fv.NOT_ASSESSABLE else None
+        verified = rule.verified if case.verified is None else case.verified
+        values = (
+            str(order), sql_text(rule.rule_id), sql_text(case.status), sql_template(case.message), sql_text(rule.field),
+            sql_text(case.citation or rule.citation), str(verified).lower(), observed, sql_template(case.expected),
+            sql_text(_severity(rule, case.status)), sql_text(remedy), sql_text(source_ref if rule.measured else ""),
         )
+        return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(FINDING_FIELDS, values, strict=True)) + ")"
 
-    return _chain(rule.cases, outcome)
+    return _case_sql(rule, outcome)
 
 
 def with_tiers(decl: DataFrame) -> DataFrame:
-    args = (F.col("net_quantity_value"), F.col("net_quantity_unit"), F.col("panel_area_cm2"),
-            F.coalesce(F.col("is_embossed"), F.lit(False)))
+    """Derived columns the rules read: tier, required sizes and number texts (pruned where unused)."""
+    raised = F.coalesce(F.col("is_embossed"), F.lit(False))
+    args = (F.col("net_quantity_value"), F.col("net_quantity_unit"), F.col("panel_area_cm2"), raised)
     if "min_font_height_mm" not in decl.columns:
         decl = decl.withColumn("min_font_height_mm", F.lit(None).cast("double"))
-    return decl.withColumns({"__required_mm": required_numeral_mm(*args), "__basis": tier_basis(*args)})
+    sized = decl.withColumns({
+        "required_mm": required_numeral_mm(*args),
+        "tier_basis": tier_basis(*args),
+        "numeral_mm": F.coalesce("min_numeral_height_mm", "min_font_height_mm"),
+        "letter_need_mm": F.when(raised, F.lit(fv.LETTER_MM_EMBOSSED)).otherwise(F.lit(fv.LETTER_MM)),
+        "print_tag": print_tag(raised),
+    })
+    return sized.withColumns({
+        "t_quantity": short_number(F.col("net_quantity_value")),
+        "t_mrp": float_text(F.col("mrp")),
+        "t_mfg": F.col("mfg_date").cast("string"),
+        "t_expiry": F.col("expiry_date").cast("string"),
+        "t_numeral": float_text(F.col("numeral_mm")),
+        "t_required": F.col("required_mm").cast("string"),
+        "t_need": F.expr("coalesce(concat('required >= ', CAST(required_mm AS STRING), 'mm'), 'requirement undetermined')"),
+        "t_letter": float_text(F.col("min_letter_height_mm")),
+        "t_letter_need": F.col("letter_need_mm").cast("string"),
+        "t_ratio": two_decimals(F.col("min_width_to_height_ratio")),
+    })
 
 
 def findings(decl: DataFrame, *, rules: tuple[str, ...] = fv.RULE_IDS,
              source_ref: str = fv.RULE7_SOURCE) -> DataFrame:
     """One row per scan and rule, with the scan's confidence carried along."""
-    chosen = [(i, r) for i, r in enumerate(rule_set(source_ref)) if r.rule_id in rules]
-    structs = F.array(*[finding_struct(i, r) for i, r in chosen])
-    return with_tiers(decl).select("scan_id", "ocr_confidence", F.explode(structs).alias("f")).select(
-        "scan_id", "ocr_confidence", "f.*")
+    structs = [finding_sql(i, r, source_ref) for i, r in enumerate(RULES) if r.rule_id in rules]
+    exploded = with_tiers(decl).select("scan_id", "ocr_confidence", F.expr(f"explode(array({', '.join(structs)})) AS f"))
+    return exploded.select("scan_id", "ocr_confidence", "f.*")
 
 
 def statuses(decl: DataFrame, *keep: str) -> DataFrame:
     """Declaration rows reduced to one status column per rule (``s0`` … ``s9``)."""
-    cols = [status_of(r).alias(f"s{i}") for i, r in enumerate(rule_set())]
+    cols = [status_of(r).alias(f"s{i}") for i, r in enumerate(RULES)]
     return with_tiers(decl).select("scan_id", "ocr_confidence", *keep, *cols)
 
 
-def _any(conds: list[Column]) -> Column:
-    out = conds[0]
-    for cond in conds[1:]:
-        out = out | cond
-    return out
-
-
 def weak_read(conf: Column) -> Column:
     return F.coalesce(conf < fv.LOW_CONFIDENCE, F.lit(False))
 
 
 def row_verdict(conf: Column) -> Column:
     """Verdict of a row that carries the status columns of ``statuses``."""
-    s = [F.col(f"s{i}") for i in range(len(fv.RULE_IDS))]
-    failed = _any([x == fv.FAIL for x in s])
-    missing = _any([x == fv.NOT_FOUND for x in s])
-    open_ = _any([x == fv.NOT_ASSESSABLE for x in s])
+    every = "(" + ", ".join(f"s{i}" for i in range(len(RULES))) + ")"
+    failed, missing, open_ = (F.expr(f"'{s}' IN {every}") for s in (fv.FAIL, fv.NOT_FOUND, fv.NOT_ASSESSABLE))
     return (
         F.when(failed | (missing & ~weak_read(conf)), fv.NON_COMPLIANT)
         .when(missing | open_, fv.INCOMPLETE)
@@ -326,9 +296,8 @@ def warnings_of(conf: Column, missed_ids: Column) -> Column:
 def verdicts(decl: DataFrame, *keep: str) -> DataFrame:
     """Verdict and warnings per scan, folded inside the row."""
     conf = F.col("ocr_confidence")
-    missed = F.filter(
-        F.array(*[F.when(F.col(f"s{i}") == fv.NOT_FOUND, F.lit(r)) for i, r in enumerate(fv.RULE_IDS)]),
-        lambda r: r.isNotNull())
+    ids = ", ".join(f"if(s{i} = '{fv.NOT_FOUND}', '{r}', NULL)" for i, r in enumerate(fv.RULE_IDS))
+    missed = F.expr(f"array_compact(array({ids}))")
     df = statuses(decl, *keep)
     return df.select("scan_id", "ocr_confidence", *keep, row_verdict(conf).alias("verdict"),
                      warnings_of(conf, missed).alias("warnings")).withColumn(

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens import fixed_values as fv
-from packlens.functions.text import lines_of, short_number
+from packlens.functions.text import lines_of, short_number, two_decimals
+from packlens.operators import rules
 
 UNIT_CYCLE = ("g", "ml", "g", "kg", "l", "mg", "pcs", "cm", "g", "ml", "nos", "oz")
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
@@ -147,8 +148,8 @@ def _date_text(d: Column, k: Column) -> Column:
     )
 
 
-def compose_label(decl: DataFrame, *, violation: Column | None = None) -> DataFrame:
-    """Declaration row to label text, with an optional injected violation per row."""
+def with_label(decl: DataFrame, *, violation: Column | None = None) -> DataFrame:
+    """Add the label text of a declaration, with an optional injected violation per row."""
     k = F.col("scan_id")
     if violation is None:
         kinds = F.array(*[F.lit(v) for v in fv.VIOLATIONS])
@@ -171,19 +172,57 @@ def compose_label(decl: DataFrame, *, violation: Column | None = None) -> DataFr
         maker,
         unless("missing_netqty", F.concat(F.lit("Net Qty: "), short_number(F.col("net_quantity_value")),
                                           F.lit(" "), F.col("net_quantity_unit"))),
-        unless("missing_mrp", F.concat(F.lit("MRP Rs. "), F.format_string("%.2f", "mrp"), tax)),
+        unless("missing_mrp", F.concat(F.lit("MRP Rs. "), two_decimals(F.col("mrp")), tax)),
         unless("missing_dates", F.nullif(dates, F.lit(""))),
         unless("missing_care", F.concat(F.lit("Customer Care: "), F.col("consumer_care"))),
         F.concat(F.lit("Country of Origin: "), F.col("country_of_origin")),
     ]
-    return df.select("scan_id", F.concat_ws("\n", *lines).alias("ocr_text"),
-                     F.col("ocr_confidence"), F.col("violation"))
+    return df.withColumn("ocr_text", F.concat_ws("\n", *lines))
+
+
+def compose_label(decl: DataFrame, *, violation: Column | None = None) -> DataFrame:
+    """Label text per scan."""
+    return with_label(decl, violation=violation).select("scan_id", "ocr_text", "ocr_confidence", "violation")
 
 
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose_label(declarations(spark, sf_dir))
 
 
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored scan rows: text, verdict, workflow state and product identity, without image columns."""
+    k = F.col("scan_id")
+    labelled = with_label(declarations(spark, sf_dir))
+    judged = rules.verdicts(labelled, "owner_id", "created_at", "ocr_text", "generic_name", "manufacturer_name",
+                            "min_numeral_height_mm")
+    final = k % 4 == 1
+    return judged.select(
+        "scan_id", "owner_id", "created_at", "ocr_text", "ocr_confidence", "verdict", "compliant", "warnings",
+        F.when(final, "final").otherwise("pending_review").alias("status"),
+        F.when(k % 3 == 0, "tesseract").when(k % 3 == 1, "florence-2").otherwise("tesseract+merge3")
+        .alias("ocr_engine"),
+        F.when(k % 10 != 0, F.col("generic_name")).alias("product_name"),
+        F.when(k % 10 != 1, F.col("manufacturer_name")).alias("brand_name"),
+        F.when(k % 5 == 0, "food").when(k % 5 == 1, "").when(k % 5 == 2, " home ").alias("category"),
+        F.when(k % 6 != 0, (k * 7 % 2000) / 10 - 100).alias("scan_lat"),
+        F.when(k % 8 != 0, (k * 13 % 4001) / 11 - 182).alias("scan_lon"),
+        F.when(final, F.concat(F.lit("officer"), (k % 20).cast("string"))).alias("reviewed_by"),
+        F.when(final, F.col("created_at") + F.expr("INTERVAL '26' HOUR")).alias("reviewed_at"),
+        F.when(final & (k % 8 == 1), "seen on pack").otherwise("").alias("review_notes"),
+        (final & (k % 8 == 1)).alias("overridden"),
+        F.col("min_numeral_height_mm").alias("font_height_mm"),
+    )
+
+
+def field_sources(decl: DataFrame) -> DataFrame:
+    """Declarations with a provenance map; the source of a field varies with the scan."""
+    kinds = F.array(*[F.lit(s) for s in ("read", "inferred", "ai_assist", "uncertain", "attested", "read", "read")])
+    pairs = [F.struct(F.lit(f).alias("key"), F.get(kinds, ((F.col("scan_id") + 3 * i) % 7).cast("int")).alias("value"))
+             for i, f in enumerate(fv.TRACKED_FIELDS)]
+    kept = [F.when(F.col(f).isNotNull(), p) for f, p in zip(fv.TRACKED_FIELDS, pairs, strict=True)]
+    return decl.withColumn("field_sources", F.map_from_entries(F.filter(F.array(*kept), lambda e: e.isNotNull())))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
 
