@@ -109,8 +109,3 @@ def short_number(value: Column) -> Column:
 
 def two_decimals(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.2f", F.rint(value * 100) / 100))
-
-
-def cap_observed(text: Column) -> Column:
-    """Long observed values are cut to 157 characters and marked."""
-    return F.when(F.length(text) > 160, F.concat(F.substring(text, 1, 157), F.lit("..."))).otherwise(text)
