@@ -8,6 +8,7 @@ from packlens.catalog.oracle_views import with_views
 from packlens.catalog.registry import Registry
 from packlens.functions.text import lines_of, short_number
 from packlens.operators import barcodes, frames, layout, rules
+from packlens.session import settle
 from packlens.sources import star
 
 R = Registry()
@@ -158,10 +159,10 @@ def font_mm(spark, d):
 
 
 @R.add("measure_gate", with_views(
-    """SELECT d.scan_id, CASE WHEN some THEN font ELSE min_numeral_height_mm END AS numeral, CASE WHEN some THEN ratio ELSE min_width_to_height_ratio END AS ratio,
-    CAST(CASE WHEN some THEN d.scan_id % 2 = 0 ELSE is_embossed END AS INTEGER) AS embossed, CASE WHEN some THEN 77.0 ELSE panel_area_cm2 END AS panel
+    """SELECT d.scan_id, CASE WHEN any_m THEN font ELSE min_numeral_height_mm END AS numeral, CASE WHEN any_m THEN ratio ELSE min_width_to_height_ratio END AS ratio,
+    CAST(CASE WHEN any_m THEN d.scan_id % 2 = 0 ELSE is_embossed END AS INTEGER) AS embossed, CASE WHEN any_m THEN 77.0 ELSE panel_area_cm2 END AS panel
     FROM (SELECT *, CASE WHEN scan_id % 3 = 0 THEN scan_id % 40 / 10 END AS font, CASE WHEN scan_id % 5 = 0 THEN 0.5 END AS ratio,
-      (scan_id % 3 = 0 OR scan_id % 5 = 0) AND scan_id % 4 <> 0 AS some FROM declarations) d""", "declarations"))
+      (scan_id % 3 = 0 OR scan_id % 5 = 0) AND scan_id % 4 <> 0 AS any_m FROM declarations) d""", "declarations"))
 def measure_gate(spark, d):
     k = F.col("scan_id")
     decl = star.declarations(spark, d)
@@ -202,7 +203,7 @@ def rows_below(spark, d):
 
 
 _HALVES = _VISUAL.replace("GROUP BY scan_id, line_no", "GROUP BY scan_id, line_no, half").replace(
-    "FROM words", "FROM (SELECT * REPLACE (y + half * 28 AS y) FROM (SELECT *, CASE WHEN x >= 600 THEN 1 ELSE 0 END AS half FROM (SELECT * REPLACE (y + line_no * 65 AS y) FROM words)))").replace("line_no,", "line_no, half,")
+    "FROM words", "FROM (SELECT * REPLACE (y + half * 16 AS y) FROM (SELECT *, CASE WHEN x >= 600 THEN 1 ELSE 0 END AS half FROM (SELECT * REPLACE (y + line_no * 65 AS y) FROM words)))").replace("line_no,", "line_no, half,")
 
 
 @R.add("row_mates", with_views(
@@ -212,7 +213,7 @@ _HALVES = _VISUAL.replace("GROUP BY scan_id, line_no", "GROUP BY scan_id, line_n
 def row_mates(spark, d):
     """Two columns of a label, the right one printed lower but overlapping the same band."""
     half = F.when(F.col("x") >= 600, 1).otherwise(0)
-    tall = star.words(spark, d).withColumn("y", F.col("y") + F.col("line_no") * 65 + half * 28).withColumn("h", F.col("h"))
+    tall = star.words(spark, d).withColumn("y", F.col("y") + F.col("line_no") * 65 + half * 16).withColumn("h", F.col("h"))
     lines = layout.visual_lines(tall)
     return layout.row_mates(lines, layout.anchor_rows(lines, "(?i)the")).select("scan_id", "y0", "text")
 
@@ -254,16 +255,17 @@ def weak_rows(spark, d):
     return layout.weak_rows(label_words(spark, d)).select("scan_id", "row_key", "text", "mean_conf", F.col("try_no").cast(L).alias("try_no"))
 
 
-def _rereads(spark, d):
+def _rereads(words):
     """A second engine's reading of every row: some become a price, some stay as they are."""
-    rows = layout.row_boxes(label_words(spark, d))
+    rows = layout.row_boxes(words)
     k = F.col("scan_id")
     return rows.select("scan_id", "row_key", F.when(k % 3 == 0, F.concat(F.lit("MRP Rs. "), (k % 90 + 10).cast("string")))
                        .when(k % 3 == 1, F.col("text")).otherwise("???").alias("new_text"))
 
 
 def _repairs(spark, d):
-    return layout.accepted_rereads(layout.weak_rows(label_words(spark, d)), _rereads(spark, d))
+    words = label_words(spark, d)
+    return layout.accepted_rereads(layout.weak_rows(words), _rereads(words))
 
 
 _REPAIR_SQL = f"""SELECT scan_id, row_key, 'MRP Rs. ' || (scan_id % 90 + 10) AS new_text, x, y, w, h, n FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY mean_conf, first_ord) AS n FROM ({_WEAK})
@@ -280,7 +282,9 @@ def accepted_rereads(spark, d):
     SELECT scan_id, y, string_agg(text, ' ' ORDER BY x) AS text FROM ({_LABEL_WORDS}) w WHERE NOT EXISTS (SELECT 1 FROM ({_REPAIR_SQL}) r WHERE r.scan_id = w.scan_id AND r.row_key = round_even(w.y / w.h, 0)) GROUP BY scan_id, y
     UNION ALL SELECT scan_id, y, new_text FROM ({_REPAIR_SQL})) GROUP BY scan_id""", "label_text"))
 def row_repair_splice(spark, d):
-    spliced = layout.row_repair_splice(label_words(spark, d), _repairs(spark, d))
+    words = settle(label_words(spark, d), "label-words")
+    repairs = layout.accepted_rereads(layout.weak_rows(words), _rereads(words))
+    spliced = layout.row_repair_splice(words, settle(repairs, "repairs"))
     return layout.text_of_lines(layout.visual_lines(spliced))
 
 

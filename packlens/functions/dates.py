@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from packlens import fixed_values as fv
-from packlens.functions.text import strip
+from packlens.functions.text import let, strip
 
 _MONTH_WORD = "|".join([m.lower() for m in fv.MONTHS] + [m[:3].lower() for m in fv.MONTHS])
 _MONTH_ABBR = "|".join(m[:3].lower() for m in fv.MONTHS)
@@ -25,38 +25,37 @@ _FORMS = (
 )
 
 
-_FULL_DAY = r"^\d{1,2}[/\-.][A-Za-z]{3,9}[/\-.]\d{2,4}$"
-
 
 def prepared(text: Column) -> Column:
     """Trim, reopen glued day-month runs and turn ``MAY-24`` into ``MAY 24``."""
     glued = F.regexp_replace(strip(text), r"^(\d{2})(\d{2})/(\d{4})$", "$1/$2/$3")
-    return F.when(glued.rlike(_FULL_DAY), glued).otherwise(
-        F.regexp_replace(glued, r"(?<=[A-Za-z])[-/](?=\d)", " "))
+    return F.regexp_replace(glued, r"^(?!\d{1,2}[/\-.][A-Za-z]{3,9}[/\-.]\d{2,4}$)(.*?[A-Za-z])[-/](?=\d)", "$1 ")
 
 
 def parse_label_date(text: Column) -> Column:
     """Date of a printed form, null when no form fits."""
-    # transform over a one-element array names the prepared text once inside the expression
-    return F.get(F.transform(F.array(prepared(text)), _first_form), 0)
+    return let(prepared(text), _first_form)
 
 
 def parse_label_dates(texts: Column) -> Column:
     """Dates of an array of printed forms (nulls kept in place)."""
-    return F.transform(texts, lambda t: F.get(F.transform(F.array(prepared(t)), _first_form), 0))
+    return F.transform(F.transform(texts, lambda t: prepared(t)), lambda s: _first_form(s))
+
+
+def _month_number(word: Column) -> Column:
+    names = F.lit(" " + " ".join(m[:3].lower() for m in fv.MONTHS))
+    place = F.instr(names, F.lower(F.substring(word, 1, 3)))
+    return F.when(word.rlike("^[A-Za-z]"), F.floor((place + 2) / 4).cast("string")).otherwise(word)
 
 
 def _first_form(s: Column) -> Column:
+    """First form that fits: a day-month-year or month-year split into ISO text, then a checked cast."""
     arms = []
     for pattern, day, month, year in _FORMS:
-        y = F.regexp_extract(s, pattern, year)
-        m = F.regexp_extract(s, pattern, month)
-        names = F.array(*[F.lit(x[:3].lower()) for x in fv.MONTHS])
-        number = F.when(m.rlike("[A-Za-z]"), F.array_position(names, F.lower(F.substring(m, 1, 3))).cast("string")).otherwise(m)
-        full = F.when(F.length(y) == 4, y).when(y >= "69", F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
+        y, m = F.regexp_extract(s, pattern, year), F.regexp_extract(s, pattern, month)
         d = F.regexp_extract(s, pattern, day) if day else F.lit("1")
-        fits = s.rlike(pattern) & (y != "0000")
-        if pattern == _FORMS[-1][0]:
-            fits = fits & (full >= "1900")
-        arms.append(F.when(fits, F.concat_ws("-", full, number, d).try_cast("date")))
+        century = F.when(F.length(y) == 4, "").when(y >= "69", "19").otherwise("20")
+        low = "1900" if pattern == _FORMS[-1][0] else "0001"
+        iso = F.concat(century, y, F.lit("-"), _month_number(m), F.lit("-"), d)
+        arms.append(F.when(s.rlike(pattern) & (iso >= low), iso.try_cast("date")))
     return F.coalesce(*arms)

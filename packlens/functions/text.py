@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace in the Unicode sense; ``trim`` alone only knows the space character.
@@ -25,8 +25,22 @@ def cs(pattern: str) -> str:
     return "(?uUd)" + pattern
 
 
-def found(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+def stage(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later expressions read as plain values.
+
+    A projection may be merged into the next one, which would move a long text expression into every
+    lambda that mentions it. A one-row ``inline`` is not merged, so each column is computed once per row.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a one-element transform names it.
+
+    Without a name every mention would repeat the whole expression, and nested repeats grow fast.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -49,12 +63,12 @@ def squeeze(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines of a text, without the empty line after a trailing break."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{LINE_BREAK})$", ""), LINE_BREAK, -1)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def non_blank_lines(text: Column) -> Column:
-    return F.filter(F.transform(lines_of(text), strip), lambda s: s != "")
+    return F.filter(F.transform(lines_of(text), lambda s: strip(s)), lambda s: s != "")
 
 
 def letters(text: Column) -> Column:
@@ -75,8 +89,8 @@ def to_double(text: Column) -> Column:
 
 def plain_number(text: Column) -> Column:
     """Number with thousands separators and stray spaces removed; null when it is not a number."""
-    bare = F.translate(text, ", ", "")
-    return F.when(bare.rlike(r"^\d+(\.\d*)?$|^\.\d+$"), bare.try_cast("double"))
+    digits = F.regexp_extract(F.translate(text, ", ", ""), r"^(\d+\.?\d*|\.\d+)$", 1)
+    return digits.try_cast("double")
 
 
 def replace_each(text: Column, pattern: str, build: Callable[[Column], Column]) -> Column:
@@ -86,7 +100,7 @@ def replace_each(text: Column, pattern: str, build: Callable[[Column], Column])
     side by side rebuilds the text.
     """
     pieces = F.split(text, pattern, -1)
-    built = F.transform(all_matches(text, pattern), build)
+    built = F.transform(all_matches(text, pattern), lambda m: build(m))
     pairs = F.zip_with(pieces, built, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
     return F.when(text.rlike(pattern), F.array_join(pairs, "")).otherwise(text)
 
