@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from packlens.catalog import capture, casework, compliance, reading
+from packlens.catalog import capture, casework, compliance, fills, reading
 from packlens.catalog.registry import Query
 
-MODULES = (compliance, casework, capture, reading)
+MODULES = (compliance, casework, capture, reading, fills)
 
 
 def all_queries() -> dict[str, Query]:
