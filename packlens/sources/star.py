@@ -18,8 +18,23 @@ UNIT_CYCLE = ("g", "ml", "g", "kg", "l", "mg", "pcs", "cm", "g", "ml", "nos", "o
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 
 
+SMALL_INPUT = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small single-file input as many partitions as there are cores (64 at most).
+
+    The size comes from the file listing. Inputs beyond the limit have plenty of splits and are left
+    alone, so nothing large is ever shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, 64, max(1, size // 32768))
+    return df.repartition(parts) if size < SMALL_INPUT else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "documents" else df
 
 
 def _drop_every(key: Column, n: int, value: Column) -> Column:
@@ -41,7 +56,7 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One declaration per order."""
     k = F.col("o_orderkey")
     joined = (
-        read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
         .join(first_lines(read(spark, sf_dir, "lineitem")), k == F.col("l_orderkey"), "left")
         .join(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"),
               F.col("l_partkey") == F.col("p_partkey"), "left")
