@@ -47,3 +47,18 @@ def test_ranges_number_like_one_window(spark):
     df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.floor(F.col("id") / 7).alias("v"))
     assert all(r.n == r.pos + 1 for r in number_rows(df, ["k"], "pos", [], width=8).collect())
     assert all(r.run_start == r.pos // 7 * 7 for r in run_starts(df, ["k"], "pos", ["v"], width=8).collect())
+
+
+def test_best_name_equals_brute_force(spark):
+    names = ["Amul", "Hindustan Unilever", "Parle Agro", "Parle Products", "Patanjali Foods"]
+    queries = ["Hindustan Uniiever Ltd, Mumbai", "by Amul dairy", "Parle Agri", "Patanjali Foods Limited", "nothing here", "abc"]
+    got = gazetteer.match_names(
+        spark.createDataFrame([(q,) for q in queries], "query string"),
+        spark.createDataFrame(list(zip(names, range(len(names)))), "name string, position long")).collect()
+    expected = {}
+    for q in queries:
+        scores = [(gazetteer.partial_ratio(q, n), -i) for i, n in enumerate(names)]
+        top = max(scores)
+        if len(q) >= 5 and top[0] >= 90:
+            expected[q] = names[-top[1]]
+    assert expected and {r["query"]: r["name"] for r in got} == expected
