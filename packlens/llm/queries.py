@@ -16,6 +16,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@R.add("op1_sharding")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packlens.llm.sharding import shard
+
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    placed = shard(table(spark, sf_dir, "documents"), keep=[F.col("doc_id"), crc])
+    return placed.select(
+        "row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@R.add("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packlens.llm.line_dedup import line_classes
+
+    return line_classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@R.add("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packlens.llm.language_id import detect, held_out, train
+
+    docs = table(spark, sf_dir, "documents")
+    return detect(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@R.add("op4_pseudo_likelihood")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packlens.llm.pseudo_likelihood import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
 @R.add("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packlens.llm.packing import pack

@@ -116,17 +116,22 @@ class Words:
         return self.data[self.starts[at] : self.ends[at]].tobytes()
 
 
+def running_sums(terms: np.ndarray) -> np.ndarray:
+    """Sums from which ``hashes_of`` takes the hash of any span of the terms."""
+    sums = np.zeros(len(terms) + 1, np.uint64)
+    if len(terms):
+        np.cumsum(terms * _power(_BASE, "up", len(terms)), out=sums[1:])
+    return sums
+
+
+def hashes_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span; equal spans have equal hashes wherever they stand."""
+    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, "down", len(sums))[starts])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes; equal bytes give equal hashes wherever they stand."""
-    n = len(data)
-    if not n or not len(starts):
-        return np.zeros(len(starts), np.uint64)
-    terms = _BYTE_CODE[data]
-    terms *= _power(_BASE, "up", n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(terms, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, "down", n + 1)[starts])
+    """A 64-bit hash of each span of the bytes."""
+    return hashes_of(running_sums(_BYTE_CODE[data]), starts, ends)
 
 
 def words(column: pa.Array, is_word: np.ndarray, lower: bool) -> Words:
