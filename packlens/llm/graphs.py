@@ -35,7 +35,7 @@ class Sieve:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Columns node, class (the least node reachable) of all nodes in ``links`` (a, b: bigint).
+    """Columns node, class (the least node reachable) of all nodes in ``links`` (a, b).
 
     Least labels spread over links and labels point on to their own labels, so the rounds grow with the logarithm of
     the longest path; each round is written, so nothing is recomputed.
