@@ -6,10 +6,12 @@ same shingles are drawn and stand in the same order, so sketches follow edit sim
 ``SKETCHES`` sketches meet in a bucket.
 
 A bucket makes no pairs of all its members. The member with the most bucket mates stands for it and each other member is aligned
-with that one: common labelled shingles in the same order, within the band that the similarity allows. Where some
-member does not reach the similarity, all members are dealt into smaller buckets by minima of what they have and the
-representative has not, or the other way round: two documents near each other share much of that. This goes on until no
-bucket is left with an unsettled member, so nothing is capped.
+with it: common labelled shingles in the same order, within the band that the similarity allows. Where a member
+comes close but does not reach the similarity, it could be near another member that the bucket's hub hides, so all close
+members are dealt into smaller buckets by minima of what they have and neither this hub nor those before it have: two
+documents near each other share much of that. This goes on until no bucket has an unsettled member; nothing is capped. Members far from a hub
+(less than ``CLOSE``) are left to their other sketches: of the sketches that two near documents share, more than two
+thirds then keep that hub out, so all of them let it in with a chance of less than one in ten thousand.
 
 Similarity is the share of order-keeping common shingles in all shingles, ``SIMILAR`` or more. Linked texts form classes.
 
@@ -38,6 +40,7 @@ SHINGLE = 5
 DRAWN = 3
 SKETCHES = 16
 SIMILAR = 0.8
+CLOSE = 0.5
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = wb.mix(np.arange(1, 2 * 64 + 1, dtype=np.uint64)).reshape(2, 64) | np.uint64(1)
 
@@ -130,43 +133,50 @@ def _bucket_rows(slim: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs (hub, uid) that join each bucket's members to the one with the most bucket mates; rows: key, uid, settled."""
+    """Pairs (hub, uid, rest) of a bucket's members with the member that has most bucket mates.
+
+    rows: key, uid, settled, rest. Members that are both settled hang together already.
+    """
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("settled").alias("all_settled")).where("n > 1 AND NOT all_settled")
-    shared = settle(rows.join(sizes.select("key", "n"), "key").select("key", "uid", "n"), "buckets")
+    shared = settle(rows.join(sizes.select("key", "n"), "key"), "buckets")
     mates = shared.groupBy("uid").agg(F.sum("n").alias("mates"))
-    hubs = shared.join(mates, "uid").groupBy("key").agg(F.max(F.struct("mates", "uid")).alias("hub")).select("key", F.col("hub.uid").alias("hub"))
-    return shared.join(hubs, "key").where("uid <> hub").select("hub", "uid").distinct()
+    hubs = shared.select("key", "uid", "settled").join(mates, "uid").groupBy("key").agg(F.max(F.struct("mates", "uid", "settled")).alias("hub"))
+    met = shared.join(hubs, "key").where("uid <> hub.uid AND NOT (settled AND hub.settled)")
+    return met.groupBy(F.col("hub.uid").alias("hub"), "uid").agg(F.max("rest").alias("rest"))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """hub, uid, near, and keys for the next, smaller buckets, from the shingles that only one of the two has."""
+    """hub, uid, near, and for close ones the rest: what neither this hub nor those before it have; with the keys it gives."""
+    names = ["hub", "uid", "near", "rest", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (small for part in wb.slices(batch, "uid_text") for small in wb.slices(part, "hub_text")):
                 (a, a_bounds), (b, b_bounds) = shingles(part.column("hub_text")), shingles(part.column("uid_text"))
-                near, keys = [], []
-                for k, hub in enumerate(part.column("hub").to_pylist()):
+                near, rests, keys = [], [], []
+                for k, (hub, rest) in enumerate(zip(part.column("hub").to_pylist(), part.column("rest"))):
                     one, two = a[a_bounds[k] : a_bounds[k + 1]], b[b_bounds[k] : b_bounds[k + 1]]
-                    near.append(aligned(one, two, least) >= least)
-                    apart = np.setxor1d(one, two, assume_unique=True)
+                    alike = aligned(one, two, least)
+                    near.append(alike >= least)
+                    if rest.is_valid:
+                        two = rest.values.to_numpy().view(np.uint64)
+                    left = np.setdiff1d(two, one, assume_unique=True) if alike >= CLOSE else two[:0]
                     context = np.frombuffer(hub[:8], np.uint64)
-                    made = [] if not len(apart) else [
-                        int(wb.mix(context + np.uint64(s) + ((apart ^ _SEEDS[0, s]) * _SEEDS[1, s]).min()).view(np.int64)[0]) for s in range(SKETCHES)
-                    ]
+                    made = [int(wb.mix(context + np.uint64(s) + ((left ^ _SEEDS[0, s]) * _SEEDS[1, s]).min()).view(np.int64)[0]) for s in range(SKETCHES)] if len(left) else []
+                    rests.append(left.view(np.int64))
                     keys.append(made)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("hub"), part.column("uid"), pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], names=["hub", "uid", "near", "keys"]
+                    [part.column("hub"), part.column("uid"), pa.array(near, pa.bool_()), pa.array(rests, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=names
                 )
 
     hub_texts = texts.select(F.col("uid").alias("hub"), F.col("text").alias("hub_text"))
     full = pairs.join(hub_texts, "hub").join(texts.select("uid", F.col("text").alias("uid_text")), "uid")
-    return full.select("hub", "uid", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean, keys array<bigint>")
+    return full.select("hub", "uid", "rest", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean, rest array<bigint>, keys array<bigint>")
 
 
 def linked_texts(slim: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Links (a, b) between ids of near-equal texts, enough to join every class; slim: text, uid."""
-    rows = settle(_bucket_rows(slim).withColumn("settled", F.lit(False)), "sketches")
+    rows = settle(_bucket_rows(slim).select("key", "uid", F.lit(False).alias("settled"), F.lit(None).cast("array<bigint>").alias("rest")), "sketches")
     pairs = settle(_stars(rows), "pairs")
     sieve = Sieve(pairs.select(F.explode(F.array(F.xxhash64("hub"), F.xxhash64("uid"))).alias("h")), "h")
     met = slim.select("uid", "text").where(F.col("text").isNotNull() & sieve.column(F.xxhash64("uid")))
@@ -175,15 +185,12 @@ def linked_texts(slim: DataFrame, least: float = SIMILAR) -> DataFrame:
     while not pairs.isEmpty():
         result = settle(_compared(pairs, texts, least), "compared")
         done.append(result)
-        open_hubs = result.where("NOT near").select("hub").distinct()
+        open_hubs = result.where("NOT near AND size(keys) > 0").select("hub").distinct()
         # The settled members stay in: one that has not reached the hub may still be near one that has.
-        rows = result.join(open_hubs, "hub").select(F.explode("keys").alias("key"), "uid", F.col("near").alias("settled")).groupBy("key", "uid").agg(F.min("settled").alias("settled"))
-        pairs = _stars(settle(rows, "rows"))
-        for old in done:
-            for a, b in (("hub", "uid"), ("uid", "hub")):
-                known = old.select(F.col(a).alias("hub"), F.col(b).alias("uid"))
-                pairs = pairs.join(known, ["hub", "uid"], "left_anti")
-        pairs = settle(pairs, "pairs")
+        again = result.join(open_hubs, "hub").select(F.explode("keys").alias("key"), "uid", F.col("near").alias("settled"), "rest")
+        pairs = _stars(settle(again, "rows"))
+        known = reduce(DataFrame.union, [d.select(*names) for d in done for names in (("hub", "uid"), ("uid", "hub"))])
+        pairs = settle(pairs.join(known.toDF("hub", "uid").distinct(), ["hub", "uid"], "left_anti"), "pairs")
     found = [d.where("near").select(F.col("hub").alias("a"), F.col("uid").alias("b")) for d in done]
     return reduce(DataFrame.union, found) if found else pairs.select(F.col("hub").alias("a"), F.col("uid").alias("b"))
 
