@@ -132,3 +132,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = spark.sql(f"SELECT * FROM VALUES {_RULE_VALUES} AS rules(host, path, action)")
     return judge(table(spark, sf_dir, "pages"), rules)
+
+
+@R.add("op5_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packlens.llm.order_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@R.add("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
