@@ -65,7 +65,8 @@ _UNION = """SELECT scan_id, frame_index, pos, ocr_confidence, line FROM (
     f"SELECT scan_id, substr(string_agg(line, chr(10) ORDER BY ocr_confidence DESC, frame_index, pos), 1, 8000) AS ocr_text FROM ({_UNION}) GROUP BY scan_id",
     "document_frames"))
 def line_union(spark, d):
-    return frames.line_union(frames.union_lines(star.document_frames(spark, d)))
+    return frames.line_union(frames.union_lines(star.document_frames(spark, d))).withColumn(
+        "ocr_text", frames.stored_text(F.col("ocr_text")))
 
 
 @R.add("words_added", with_views(f"SELECT scan_id, frame_index, count(*) AS added FROM ({_UNION}) GROUP BY ALL", "document_frames"))

@@ -48,6 +48,20 @@ def verdict_status_filter(spark, d):
         "scan_id", "verdict", "status")
 
 
+@R.add("scan_search_backslash", with_views(
+    r"SELECT scan_id, product_name FROM (SELECT scan_id, replace(product_name, ' ', '\') AS product_name FROM scans) WHERE contains(product_name, '\')", "scans"))
+def scan_search_backslash(spark, d):
+    slashed = star.scans(spark, d).withColumns({"product_name": F.replace("product_name", F.lit(" "), F.lit("\\")), "brand_name": F.lit(None).cast("string"), "ocr_text": F.lit(None).cast("string")})
+    return history.scan_search(slashed, q="\\").select("scan_id", "product_name")
+
+
+@R.add("history_page_all", with_views(
+    "SELECT scan_id, verdict, row_number() OVER (ORDER BY verdict, created_at DESC, scan_id) - 1 AS rn FROM scans QUALIFY rn BETWEEN 510 AND 519", "scans"))
+def history_page_all(spark, d):
+    out = history.history_page(star.scans(spark, d), sort="verdict", descending=False, page=51)
+    return out.select("scan_id", "verdict", F.col("rn").cast("long").alias("rn"))
+
+
 @R.add("verdict_status_filter_open_set", with_views("SELECT scan_id, status FROM scans WHERE status = 'final'", "scans"))
 def verdict_status_filter_open_set(spark, d):
     return history.verdict_status_filter(star.scans(spark, d), verdict="MAYBE", status="final").select("scan_id", "status")
@@ -170,7 +184,7 @@ def recent_eight(spark, d):
     "SELECT scan_id, verdict, row_number() OVER (ORDER BY verdict, created_at DESC, scan_id) - 1 AS rn FROM "
     "(SELECT * FROM scans ORDER BY created_at DESC, scan_id LIMIT 100) QUALIFY rn BETWEEN 90 AND 99", "scans"))
 def history_page(spark, d):
-    out = history.history_page(star.scans(spark, d), sort="verdict", descending=False, page=50)
+    out = history.history_page(star.scans(spark, d), sort="verdict", descending=False, page=50, newest=100)
     return out.select("scan_id", "verdict", F.col("rn").cast("long").alias("rn"))
 
 

@@ -283,6 +283,26 @@ def boxes_backfill(spark, d):
     return corpus.boxes_backfill(rows).select("scan_id", F.col("x").cast("bigint").alias("x"), F.col("w").cast("bigint").alias("w"))
 
 
+@R.add("findings_backfill_damaged", with_views(
+    "SELECT scan_id, rule_id, status FROM findings WHERE scan_id % 11 <> 5 UNION ALL SELECT scan_id, NULL, NULL FROM declarations WHERE scan_id % 11 = 5", "findings", "declarations"))
+def findings_backfill_damaged(spark, d):
+    """Every list holds elements that are no findings; some texts are cut short or no list."""
+    old = rules.findings(star.declarations(spark, d)).groupBy("scan_id").agg(F.to_json(F.collect_list(F.struct("rule_id", "status"))).alias("r"))
+    damaged = F.when(_k() % 22 == 5, "{broken").when(_k() % 11 == 5, '"text"').otherwise(F.concat(F.lit('["loose", 7, null, '), F.substr("r", F.lit(2))))
+    rows = old.withColumn("results_json", damaged)
+    out = corpus.findings_backfill(rows)
+    return out.select("scan_id", "rule_id", F.when(F.col("rule_id").isNotNull(), F.col("status")).alias("status"))
+
+
+@R.add("boxes_backfill_damaged", with_views("SELECT scan_id, frame_index AS x, text_length AS w, 0 AS y FROM order_frames WHERE part_id % 9 <> 0", "order_frames"))
+def boxes_backfill_damaged(spark, d):
+    """A null number skips its box, an absent one is 0, and elements that are no boxes skip only themselves."""
+    x = F.when(F.col("part_id") % 9 == 0, F.lit("null")).otherwise(F.col("frame_index").cast("string"))
+    box = F.concat(F.lit('{"x": '), x, F.lit(', "w": '), F.col("text_length").cast("string"), F.lit("}"))
+    rows = star.order_frames(spark, d).groupBy("scan_id").agg(F.concat(F.lit('["loose", null, '), F.array_join(F.collect_list(box), ", "), F.lit("]")).alias("boxes_json"))
+    return corpus.boxes_backfill(rows).select("scan_id", *[F.col(c).cast("bigint").alias(c) for c in ("x", "w", "y")])
+
+
 def _products(spark, d):
     k = F.col("p_partkey")
     code = F.lpad(k.cast("string"), 8, "0")
@@ -384,7 +404,7 @@ def stream_findings(spark, d):
 def stream_daily_volume(spark, d):
     out = scratch_path(spark, "stream-daily")
     scans = star.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"))
-    live.stream_daily_volume(live.arriving(scans, "arriving", files=1), out, scratch_path(spark, "cp")).awaitTermination()
+    live.stream_daily_volume(live.arriving(scans, "arriving"), out, scratch_path(spark, "cp")).awaitTermination()
     return live.daily_volume_table(spark, out).select(F.col("day").cast("string").alias("day"), "n")
 
 

@@ -10,8 +10,6 @@ from packlens.functions.text import float_text, lines_of, squeeze, strip
 from packlens.operators.ordered import first_k, run_starts
 
 TEXT_LIMIT = 8000
-# A union line has two characters and a break, so later lines cannot reach the first 8000 characters.
-LINE_LIMIT = TEXT_LIMIT // 3 + 1
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -61,11 +59,14 @@ def words_added(union: DataFrame) -> DataFrame:
 
 
 def line_union(union: DataFrame) -> DataFrame:
-    """Union text per scan, at most 8000 characters."""
-    order = [F.col(c) for c in ("rank", "frame_index", "pos")]
-    kept = first_k(union, ["scan_id"], order, LINE_LIMIT, salt_on=["frame_index", "pos"], name="line_no")
-    return kept.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")).select(
-        "scan_id", F.substring(F.array_join(F.transform("ls", lambda r: r["line"]), "\n"), 1, TEXT_LIMIT).alias("ocr_text"))
+    """The whole union text per scan: strongest frame first, then reading order."""
+    lines = F.array_sort(F.collect_list(F.struct("rank", "frame_index", "pos", "line")))
+    return union.groupBy("scan_id").agg(lines.alias("ls")).select("scan_id", F.array_join("ls.line", "\n").alias("ocr_text"))
+
+
+def stored_text(text: Column) -> Column:
+    """What is stored of a text: its first 8000 characters. Extraction works on the whole text."""
+    return F.substring(text, 1, TEXT_LIMIT)
 
 
 def gallery(scans: DataFrame, frames: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from packlens import fixed_values as fv
 from packlens.functions.text import lines_of, strip
+from packlens.operators.frames import round_to
 
 
 def owner_scope(scans: DataFrame, *, user, role: str) -> DataFrame:
@@ -24,11 +25,11 @@ def verdict_status_filter(scans: DataFrame, *, verdict: str | None = None, statu
 
 
 def scan_search(scans: DataFrame, *, q: str | None) -> DataFrame:
-    """Case-insensitive substring search; ``%`` and ``_`` in the term act as wildcards."""
+    """Case-insensitive substring search; ``%`` and ``_`` in the term act as wildcards, a backslash stands for itself."""
     term = (q or "").strip()
     if not term:
         return scans
-    like = f"%{term}%"
+    like = "%" + term.replace("\\", "\\\\") + "%"
     hit = F.col("scan_id").cast("string").ilike(like)
     for name in ("product_name", "brand_name", "ocr_text"):
         hit = hit | F.coalesce(F.col(name).ilike(like), F.lit(False))
@@ -48,7 +49,7 @@ def scan_summary(scans: DataFrame) -> DataFrame:
 def valid_gps(scans: DataFrame) -> DataFrame:
     lat, lon = F.col("scan_lat"), F.col("scan_lon")
     ok = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
-    return scans.withColumns({"scan_lat": F.when(ok, F.round(lat, 6)), "scan_lon": F.when(ok, F.round(lon, 6))})
+    return scans.withColumns({"scan_lat": F.when(ok, round_to(lat, 6)), "scan_lon": F.when(ok, round_to(lon, 6))})
 
 
 def product_identity(rows: DataFrame) -> DataFrame:
@@ -83,18 +84,16 @@ def recent_scans(scans: DataFrame, *, limit: int = 100) -> DataFrame:
 
 
 def history_page(scans: DataFrame, *, sort: str = "created_at", descending: bool = True, page: int = 0,
-                 size: int = 10, newest: int = 100) -> DataFrame:
-    """One page of the newest rows; a page past the end becomes the last page.
+                 size: int = 10, newest: int | None = None) -> DataFrame:
+    """One page of all rows, or of the ``newest``; a page past the end becomes the last page.
 
-    The list holds at most ``newest`` rows after the first top-k, so the numbering window is bounded.
+    A sorted top-k with an offset finds the page, and only its ``size`` rows are numbered.
     """
-    rows = recent_scans(scans, limit=newest)
-    key = F.col(sort).desc() if descending else F.col(sort).asc()
-    w = W.orderBy(key, *newest_first())
-    numbered = rows.withColumn("rn", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
-    last = F.greatest(F.ceil(F.col("n") / size), F.lit(1)) - 1
-    on_page = F.floor(F.col("rn") / size) == F.least(F.lit(page), last)
-    return numbered.where(on_page).drop("n")
+    rows = scans if newest is None else recent_scans(scans, limit=newest)
+    first = min(page, max(-(-rows.count() // size), 1) - 1) * size
+    order = [F.col(sort).desc() if descending else F.col(sort).asc(), *newest_first()]
+    on_page = rows.orderBy(*order).offset(first).limit(size)
+    return on_page.withColumn("rn", F.row_number().over(W.orderBy(*order)) - 1 + first)
 
 
 def verdict_counts(scans: DataFrame) -> DataFrame:

@@ -14,13 +14,17 @@ from packlens.session import settle
 def merge_scan(frames: DataFrame, *, is_embossed: bool = False, panel_area_cm2: float | None = None) -> DataFrame:
     """One row per scan: union text, chosen frames, verdict and warnings.
 
-    ``frames`` holds text plus ``font_mm``, ``letter_mm``, ``ratio`` and ``has_boxes`` per frame. Text
-    comes from the union, measurements from the measured frame, confidence from the best frame. The
-    union text is settled because extraction and verdict both start from it.
+    ``frames`` holds text plus ``font_mm``, ``letter_mm``, ``ratio``, ``has_boxes`` and, if known,
+    ``ocr_engine`` per frame. Text comes from the whole union and only the stored text is cut;
+    measurements come from the measured frame, confidence and engine from the best frame. The union text is
+    settled because extraction and verdict both start from it.
     """
     chosen = fr.merge_warnings(fr.measured_frame(frames.withColumn("text_length", F.length("text"))))
     sizes = frames.select("scan_id", F.col("frame_index").alias("measured_index"), "font_mm", "letter_mm", "ratio")
     chosen = chosen.join(sizes, ["scan_id", "measured_index"])
+    engine = F.col("ocr_engine") if "ocr_engine" in frames.columns else F.lit("tesseract")
+    engines = frames.select("scan_id", F.col("frame_index").alias("best_index"), engine.alias("best_engine"))
+    chosen = chosen.join(engines, ["scan_id", "best_index"])
     union = fr.line_union(fr.union_lines(frames))
     text = settle(chosen.join(union, "scan_id", "left").withColumn("ocr_confidence", F.col("best_confidence")), "merged-text")
     decl = extract_declarations(text.withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))).withColumns({
@@ -28,7 +32,9 @@ def merge_scan(frames: DataFrame, *, is_embossed: bool = False, panel_area_cm2:
         "min_width_to_height_ratio": F.col("ratio"), "is_embossed": F.lit(is_embossed),
         "panel_area_cm2": F.lit(panel_area_cm2).cast("double"),
     })
-    judged = rules.verdicts(decl, "ocr_text", "best_index", "measured_index", "n_frames", "merge_warnings",
+    judged = rules.verdicts(decl, "ocr_text", "best_index", "measured_index", "n_frames", "merge_warnings", "best_engine",
                             "generic_name", "manufacturer_name", "net_quantity_value", "mrp")
-    return judged.withColumn("warnings", F.concat("warnings", "merge_warnings")).withColumn(
-        "ocr_engine", F.concat(F.lit("tesseract+merge"), F.col("n_frames").cast("string"))).drop("merge_warnings")
+    return judged.withColumns({
+        "warnings": F.concat("warnings", "merge_warnings"), "ocr_text": fr.stored_text(F.col("ocr_text")),
+        "ocr_engine": F.concat("best_engine", F.lit("+merge"), F.col("n_frames").cast("string")),
+    }).drop("merge_warnings", "best_engine")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens.functions.text import strip
@@ -22,9 +22,8 @@ TRUTH_ROW = (
 STUDIO_EXPORT = (
     "text STRING, annotations ARRAY<STRUCT<result: ARRAY<STRUCT<type: STRING, value: STRUCT<start: INT, `end`: INT, labels: ARRAY<STRING>>>>>>")
 FINDING = (
-    "ARRAY<STRUCT<rule_id: STRING, status: STRING, message: STRING, field: STRING, citation: STRING, citation_verified: BOOLEAN, source_ref: STRING, "
-    "observed: STRING, expected: STRING, severity: STRING, remedy: STRING, manual: BOOLEAN, cause: STRING, why: STRING, next_steps: ARRAY<STRING>>>")
-BOX = "ARRAY<STRUCT<text: STRING, x: STRING, y: STRING, w: STRING, h: STRING, confidence: STRING>>"
+    "STRUCT<rule_id: STRING, status: STRING, message: STRING, field: STRING, citation: STRING, citation_verified: BOOLEAN, source_ref: STRING, "
+    "observed: STRING, expected: STRING, severity: STRING, remedy: STRING, manual: BOOLEAN, cause: STRING, why: STRING, next_steps: ARRAY<STRING>>")
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
@@ -92,9 +91,20 @@ def from_snapshot(rows: DataFrame) -> DataFrame:
     return rows.select("scan_id", F.from_json("declaration_json", DECLARATION).alias("d")).select("scan_id", "d.*")
 
 
+def _elements(text: Column) -> Column:
+    """The elements of a JSON list, each as text; null if the whole is no list."""
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+
+
 def findings_backfill(rows: DataFrame) -> DataFrame:
-    """Findings stored by older versions: missing keys get defaults, ``passed`` follows the status."""
-    stored = rows.select("scan_id", F.explode(F.from_json("results_json", FINDING)).alias("r"))
+    """Findings stored by older versions: missing keys get defaults, ``passed`` follows the status.
+
+    Every element is read by itself and one that is no object is left out; a scan without any readable finding stays as one row
+    without a rule.
+    """
+    objects = F.filter(_elements(F.col("results_json")), lambda e: F.ltrim(e).startswith("{"))
+    read = F.filter(F.transform(objects, lambda e: F.from_json(e, FINDING)), lambda r: r.isNotNull())
+    stored = rows.select("scan_id", F.explode_outer(read).alias("r"))
     text = {c: F.coalesce(F.col(f"r.{c}"), F.lit("")) for c in ("message", "field", "citation", "source_ref", "cause", "why")}
     status = F.coalesce("r.status", F.lit("PASS"))
     return stored.select(
@@ -106,10 +116,14 @@ def findings_backfill(rows: DataFrame) -> DataFrame:
 
 
 def boxes_backfill(rows: DataFrame, *, cap: int = 500) -> DataFrame:
-    """Stored word boxes: absent numbers are 0, boxes with unreadable numbers are skipped."""
-    box = rows.select("scan_id", F.inline(F.slice(F.from_json("boxes_json", BOX), 1, cap)))
-    numbers = {c: F.coalesce(F.col(c), F.lit("0")).try_cast("double") for c in ("x", "y", "w", "h", "confidence")}
-    out = box.withColumns(numbers).withColumn("text", F.coalesce("text", F.lit("")))
+    """Stored word boxes: absent numbers are 0; boxes with null or unreadable numbers, and what is no box, are skipped."""
+    box = rows.select("scan_id", F.explode(F.slice(_elements(F.col("boxes_json")), 1, cap)).alias("e")).where(F.ltrim("e").startswith("{"))
+    box = box.select("scan_id", F.from_json("e", "map<string,string>").alias("m"))
+
+    def number(name: str) -> Column:
+        return F.when(F.map_contains_key("m", name), F.col("m")[name]).otherwise(F.lit("0")).try_cast("double")
+
+    out = box.select("scan_id", F.coalesce(F.col("m")["text"], F.lit("")).alias("text"), *[number(c).alias(c) for c in ("x", "y", "w", "h", "confidence")])
     return out.where("x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL AND confidence IS NOT NULL").withColumns(
         {c: F.col(c).cast("int") for c in ("x", "y", "w", "h")})
 

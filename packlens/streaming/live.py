@@ -18,23 +18,20 @@ def stream_findings(arriving: DataFrame, out: str, checkpoint: str):
         availableNow=True).start()
 
 
-def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str, *, late: str = "2 days"):
-    """Scans per day as one-day windows; state older than the watermark is dropped.
+def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str):
+    """Scans per day. Every trigger writes the counts of its own rows, which ``daily_volume_table`` adds up.
 
-    Every trigger writes the changed days as a new version; ``daily_volume_table`` reads the newest one.
+    Counts need no state and no watermark, so a row may come as late as it likes; a repeated trigger overwrites itself.
     """
-    daily = arriving.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day")).agg(F.count(F.lit(1)).alias("n"))
 
-    def upsert(batch: DataFrame, version: int) -> None:
-        batch.select(F.to_date("window.start").alias("day"), "n").withColumn("version", F.lit(version)).write.mode(
-            "overwrite").parquet(f"{out}/batch={version}")
+    def append(batch: DataFrame, version: int) -> None:
+        batch.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={version}")
 
-    return daily.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_volume_table(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).groupBy("day").agg(F.max_by("n", "version").alias("n"))
+    return spark.read.parquet(out).groupBy("day").agg(F.sum("n").alias("n"))
 
 
 def job_state(transitions: DataFrame) -> DataFrame:
@@ -62,8 +59,9 @@ def job_status_table(spark: SparkSession, out: str) -> DataFrame:
     return merged.select("job_id", F.coalesce("terminal.status", "latest.status").alias("status"))
 
 
-def arriving(df: DataFrame, name: str, *, files: int = 4) -> DataFrame:
-    """A table as a file stream of several small arrivals."""
+def arriving(df: DataFrame, name: str, *, rows: int = 20_000, triggers: int = 4) -> DataFrame:
+    """A table as a file stream: the tasks that make it write files of a bounded size, which arrive over about ``triggers`` triggers."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
+    files = len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // triggers))).parquet(path)
