@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packlens.catalog.oracle_views import with_views
+from packlens.catalog.oracle_views import TIERED, with_views
 from packlens.catalog.registry import Registry
 from packlens.functions import fields as ff
 from packlens.functions.dates import parse_label_date
@@ -281,12 +281,23 @@ def field_accuracy(spark, d):
     return scoring.field_accuracy(_scores(spark, d))
 
 
+# Sizes are unknown on a flat text, so a clean label is incomplete.
+_READ_DECL = f"""
+SELECT d.*, FALSE AS is_embossed, t.ocr_confidence, t.violation, {', '.join(f'NULL::DOUBLE AS {c}' for c in ('min_numeral_height_mm', 'min_letter_height_mm', 'min_width_to_height_ratio', 'panel_area_cm2'))}
+FROM ({_DECL_SQL}) d JOIN label_text t ON d.scan_id = t.scan_id
+"""
+
+
 @R.add("verdict_accuracy", with_views(
     "SELECT count(*) FILTER (v.verdict = CASE WHEN t.violation IS NOT NULL THEN 'NON_COMPLIANT' ELSE 'INCOMPLETE' END) AS ok, count(*) AS total FROM verdicts v JOIN label_text t ON v.scan_id = t.scan_id",
-    "verdicts", "label_text"))
+    "verdicts", "label_text", replaced={
+        "parsed": (_PARSED, ("label_text",)), "read_decl": (_READ_DECL, ("parsed", "label_text")),
+        "tiered": (TIERED.replace("FROM declarations", "FROM read_decl"), ("read_decl",))}))
 def verdict_accuracy(spark, d):
-    labelled = star.with_label(star.declarations(spark, d))
-    return scoring.verdict_accuracy(rules.verdicts(labelled), labelled)
+    read = ex.extract_declarations(star.label_text(spark, d))
+    unknown = {c: F.lit(None).cast("double") for c in ("min_numeral_height_mm", "min_letter_height_mm", "min_width_to_height_ratio", "panel_area_cm2")}
+    judged = rules.verdicts(read.withColumns(unknown).withColumn("is_embossed", F.lit(False)), "violation")
+    return scoring.verdict_accuracy(judged)
 
 
 @R.add("read_quality", "SELECT source, count(*) AS n, count(*) FILTER ((doc_id * 37) % 101 >= 60) AS readable, count(*) FILTER (trim(text) = '') AS empty, round_even(avg((doc_id * 37) % 101), 1) AS mean_conf FROM documents GROUP BY source")
