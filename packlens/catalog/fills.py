@@ -397,7 +397,14 @@ def corpus_train_eval_split(spark, d):
 def stream_findings(spark, d):
     out = scratch_path(spark, "stream-findings")
     live.stream_findings(live.arriving(star.declarations(spark, d), "arriving"), out, scratch_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(out).select("scan_id", "verdict")
+    return spark.read.parquet(f"{out}/verdicts").select("scan_id", "verdict")
+
+
+@R.add("stream_findings_rows", with_views("SELECT scan_id, rule_id, status FROM findings", "findings"))
+def stream_findings_rows(spark, d):
+    out = scratch_path(spark, "stream-findings")
+    live.stream_findings(live.arriving(star.declarations(spark, d), "arriving"), out, scratch_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(f"{out}/findings").select("scan_id", "rule_id", "status")
 
 
 @R.add("stream_daily_volume", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day")
@@ -410,11 +417,15 @@ def stream_daily_volume(spark, d):
 
 def _transitions(spark, d):
     kinds = F.create_map(*[F.lit(x) for p in (("signup", "queued"), ("view", "working"), ("click", "working"), ("purchase", "done"), ("error", "failed")) for x in p])
-    return star.read(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), F.element_at(kinds, F.col("event_type")).alias("status"))
+    return star.read(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), F.element_at(kinds, F.col("event_type")).alias("status")).withColumns({
+        "error": F.when(F.col("status") == "failed", F.concat(F.lit("error "), F.col("event_id").cast("string"))),
+        "scan_id": F.when(F.col("status") == "done", F.col("event_id"))})
 
 
-_JOBS = """SELECT user_id AS job_id, COALESCE(arg_min(status, (ts, event_id)) FILTER (status IN ('done', 'failed')), arg_max(status, (ts, event_id))) AS status FROM (
- SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'working' WHEN 'click' THEN 'working' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status FROM events) GROUP BY user_id"""
+_JOBS = """SELECT job_id, status, CASE WHEN status = 'failed' THEN 'error ' || e END AS error, CASE WHEN status = 'done' THEN e END AS scan_id FROM (
+ SELECT user_id AS job_id, COALESCE(arg_min(status, (ts, event_id)) FILTER (status IN ('done', 'failed')), arg_max(status, (ts, event_id))) AS status,
+  COALESCE(arg_min(event_id, (ts, event_id)) FILTER (status IN ('done', 'failed')), arg_max(event_id, (ts, event_id))) AS e FROM (
+ SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'working' WHEN 'click' THEN 'working' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status FROM events) GROUP BY user_id)"""
 
 
 @R.add("job_status_latest", _JOBS)

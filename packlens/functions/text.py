@@ -67,10 +67,6 @@ def lines_of(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
-def non_blank_lines(text: Column) -> Column:
-    return F.filter(F.transform(lines_of(text), lambda s: strip(s)), lambda s: s != "")
-
-
 def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\P{L}", ""))
 
@@ -79,14 +75,6 @@ def digit_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\P{Nd}", ""))
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
-def to_double(text: Column) -> Column:
-    return F.nullif(text, F.lit("")).try_cast("double")
-
-
 def plain_number(text: Column) -> Column:
     """Number with thousands separators and stray spaces removed; null when it is not a number."""
     digits = F.regexp_extract(F.translate(text, ", ", ""), r"^(\d+\.?\d*|\.\d+)$", 1)

@@ -238,10 +238,6 @@ def field_sources(decl: DataFrame) -> DataFrame:
     return decl.withColumn("field_sources", F.map_from_entries(F.filter(F.array(*kept), lambda e: e.isNotNull())))
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-
-
 def order_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the number of orders, used to map events onto scans."""
     return read(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_orders"))

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.operators import rules
+from packlens.plans.evaluate import evaluate
 from packlens.session import scratch_path
 
 TERMINAL = ("done", "failed")
 
 
 def stream_findings(arriving: DataFrame, out: str, checkpoint: str):
-    """Declarations to verdict rows. The fold stays inside the row, so the stream keeps no state."""
-    judged = rules.statuses(arriving).withColumn("verdict", rules.row_verdict(F.col("ocr_confidence")))
-    return judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    """Declarations to findings (``out/findings``) and verdict rows with warnings (``out/verdicts``).
+
+    All of it stays inside the declaration row, so the stream keeps no state; a repeated trigger overwrites itself.
+    """
+
+    def write(batch: DataFrame, version: int) -> None:
+        findings, verdicts = evaluate(batch)
+        findings.write.mode("overwrite").parquet(f"{out}/findings/batch={version}")
+        verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={version}")
+
+    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str):
@@ -35,14 +42,19 @@ def daily_volume_table(spark: SparkSession, out: str) -> DataFrame:
 
 
 def job_state(transitions: DataFrame) -> DataFrame:
-    """First terminal and latest transition per job: all a job's state needs to know."""
-    end = F.when(F.col("status").isin(*TERMINAL), F.struct("at", "event_id", "status"))
-    return transitions.groupBy("job_id").agg(F.min(end).alias("terminal"), F.max(F.struct("at", "event_id", "status")).alias("latest"))
+    """First terminal and latest transition per job: all a job's state needs to know, with its error and scan."""
+    step = F.struct("at", "event_id", "status", "error", "scan_id")
+    end = F.when(F.col("status").isin(*TERMINAL), step)
+    return transitions.groupBy("job_id").agg(F.min(end).alias("terminal"), F.max(step).alias("latest"))
+
+
+def _current(states: DataFrame) -> DataFrame:
+    return states.select("job_id", F.coalesce("terminal", "latest").alias("s")).select("job_id", "s.status", "s.error", "s.scan_id")
 
 
 def job_status_latest(transitions: DataFrame) -> DataFrame:
     """Status per job; a terminal state never regresses."""
-    return job_state(transitions).select("job_id", F.coalesce("terminal.status", "latest.status").alias("status"))
+    return _current(job_state(transitions))
 
 
 def stream_job_status(transitions: DataFrame, out: str, checkpoint: str):
@@ -56,7 +68,7 @@ def stream_job_status(transitions: DataFrame, out: str, checkpoint: str):
 
 def job_status_table(spark: SparkSession, out: str) -> DataFrame:
     merged = spark.read.parquet(out).groupBy("job_id").agg(F.min("terminal").alias("terminal"), F.max("latest").alias("latest"))
-    return merged.select("job_id", F.coalesce("terminal.status", "latest.status").alias("status"))
+    return _current(merged)
 
 
 def arriving(df: DataFrame, name: str, *, rows: int = 20_000, triggers: int = 4) -> DataFrame:
