@@ -2,12 +2,13 @@
 
 A line is split into ``threshold + 1`` segments. Two lines within the threshold share at least one segment unchanged,
 shifted by no more than the edits before it; so every line is indexed under its own segments, looks up its substrings
-under the segments of all lengths it may match, and only lines that meet there are compared. A check sum of characters
-whose bits an edit can hardly change is compared inside the join, so that many variants of one line make no rows for
-pairs that differ by more; the rest is settled by a banded bit-parallel edit distance over all pairs at once.
+under the segments of all lengths it may match, and only lines that meet there are compared: rows are dealt out and
+sorted by segment, and each task matches neighbours. There a check sum is compared first, in which an edit changes few
+bits, so that many variants of one line make no rows for pairs that differ by more; what is left is settled by a banded
+bit-parallel edit distance over all pairs at once. Lengths and edits are counted in UTF-8 bytes.
 
 Equal lines are one line from the start. Linked lines form classes; the first occurrence of a class, by document id, then
-text, then line, stays, and later ones go. Lines shorter than ``SHORTEST`` characters are left alone.
+text, then line, stays, and later ones go. Lines shorter than ``SHORTEST`` bytes are left alone.
 
 Defined cases: a null text has no lines and stays null; empty lines are short ones; a document that had lines and loses all of its
 words is a copy of others and goes. Rows equal in id and text are one document: they get the same result. Null ids come
@@ -16,6 +17,7 @@ first. Empty tables give no rows. All other columns are passed on as they are, w
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,49 +31,50 @@ from packlens.session import settle
 
 THRESHOLD = 2
 SHORTEST = 20
-_ONES = 0x7FFFFFFF  # bits 1-31 of a check sum: single characters; bits 32-62: pairs; bit 0: same length
+# Bits of a check sum.
+_SINGLES = np.int64(0x7FFFFFFF << 1)
+_PAIRS = np.int64(0x7FFFFFFF << 32)
+_SAME_LENGTH = np.int64(-(1 << 63))
+# Bytes of lines compared at a time.
+_AREA = 1 << 21
 
 
 class Lines:
-    """The lines of several texts as spans of code points."""
+    """The lines of several texts that are long enough, as spans of bytes."""
 
     def __init__(self, column: pa.Array, shortest: int = SHORTEST) -> None:
-        data, offsets = wb.text_buffer(column)
-        self.points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        heads = np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)])
-        rows = heads[offsets]  # code points before each text
-        n = len(self.points)
-        cuts = np.unique(np.concatenate([rows[:-1][np.diff(rows) > 0], np.flatnonzero(self.points == 10) + 1]))
-        cuts = cuts[cuts < n] if n else cuts[:0]
-        ends = np.append(cuts[1:], n)[: len(cuts)]
-        ends = np.where(self.points[ends - 1] == 10, ends - 1, ends) if len(cuts) else ends
-        row = np.searchsorted(rows, cuts, "right") - 1
-        # The number of a line in its text: line feeds between the text's start and the line's.
-        feeds = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.points == 10)])
-        number = feeds[cuts] - feeds[rows[row]]
+        self.data, offsets = wb.text_buffer(column)
+        feeds = np.flatnonzero(self.data == 10)
+        cuts = np.unique(np.concatenate([offsets[:-1], feeds + 1]))  # where lines begin
+        cuts = cuts[cuts < len(self.data)]
+        ends = np.append(cuts[1:], len(self.data))[: len(cuts)]
+        ends = ends - (self.data[ends - 1] == 10)
         keep = ends - cuts >= shortest
-        self.starts, self.ends, self.row, self.number = cuts[keep], ends[keep], row[keep], number[keep]
-        self.terms = wb.mix(self.points.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-        self.sums = wb.running_sums(self.terms)
+        self.starts, self.ends = cuts[keep], ends[keep]
+        self.row = np.searchsorted(offsets, self.starts, "right") - 1
+        self.number = np.searchsorted(feeds, self.starts) - np.searchsorted(feeds, offsets[self.row])
+        self.sums = wb.running_sums(wb.BYTE_CODE[self.data])
         self.ids = self.hashes(self.starts, self.ends).view(np.int64)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return wb.hashes_of(self.sums, starts, ends)
 
-    def text(self, k: int) -> str:
-        return self.points[self.starts[k] : self.ends[k]].tobytes().decode("utf-32-le")
+    def text(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]].tobytes()
 
-    def check_sums(self) -> np.ndarray:
-        """Parities of how often characters (bits 1-31) and character pairs (bits 32-62) of each kind stand in a line."""
-        if not len(self.starts):
+    def check_sums(self, which: np.ndarray) -> np.ndarray:
+        """Parities of how often bytes (bits 1-31) and byte pairs (bits 32-62) of each kind stand in some of the lines."""
+        if not len(which):
             return np.zeros(0, np.int64)
-        single = np.uint64(1) << (self.terms % np.uint64(31) + np.uint64(1))
-        pair = wb.mix(self.terms[:-1] + np.uint64(3) * self.terms[1:])
-        pair = np.uint64(1) << (pair % np.uint64(31) + np.uint64(32))
-        singles = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(single)])
-        pairs = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(pair)])
-        out = singles[self.ends] ^ singles[self.starts] ^ pairs[self.ends - 1] ^ pairs[self.starts]
-        return out.view(np.int64)
+        pairs = _PAIR_BIT[(self.data[:-1].astype(np.uint16) << 8) | self.data[1:]]
+        singles = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_BYTE_BIT[self.data])])
+        pairs = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(pairs)])
+        starts, ends = self.starts[which], self.ends[which]
+        return (singles[ends] ^ singles[starts] ^ pairs[ends - 1] ^ pairs[starts]).view(np.int64)
+
+
+_BYTE_BIT = np.uint64(1) << (wb.BYTE_CODE % np.uint64(31) + np.uint64(1))
+_PAIR_BIT = np.uint64(1) << (wb.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(31) + np.uint64(32))
 
 
 def _segment(length: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,30 +89,62 @@ def _keys(lines: Lines, starts: np.ndarray, ends: np.ndarray, length: np.ndarray
     return wb.mix(lines.hashes(starts, ends) + wb.mix((length * 64 + i).astype(np.uint64))).view(np.int64)
 
 
-def segment_rows(lines: Lines, threshold: int) -> tuple[np.ndarray, ...]:
-    """Keys, lines and check sums of the index; then of the look-ups, whose lowest check-sum bit marks equal lengths."""
+def segment_rows(lines: Lines, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, lines and check sums: index rows (lowest bit of the check sum 0), and look-ups (1; highest bit set for equal lengths)."""
     _, first = np.unique(lines.ids, return_index=True)
     starts, size = lines.starts[first], (lines.ends - lines.starts)[first]
-    ids, sums = lines.ids[first], lines.check_sums()[first]
-    index, probe = [], []
+    ids, sums = lines.ids[first], lines.check_sums(first)
+    rows = []
     for i in range(threshold + 1):
         at, width = _segment(size, i, threshold)
-        index.append((_keys(lines, starts + at, starts + at + width, size, i), ids, sums))
+        rows.append((_keys(lines, starts + at, starts + at + width, size, i), ids, sums))
         for less in range(threshold + 1):  # lines at most so much shorter
             length = size - less
             at, width = _segment(length, i, threshold)
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
                 low = at + shift
                 ok = (width > 0) & (low >= 0) & (low + width <= size) & (length > 0)
-                probe.append((_keys(lines, (starts + low)[ok], (starts + low + width)[ok], length[ok], i), ids[ok], sums[ok] | (less == 0)))
-    return tuple(np.concatenate(x) for rows in (index, probe) for x in zip(*rows))
+                mark = np.int64(1) if less else np.int64(1) | _SAME_LENGTH
+                rows.append((_keys(lines, (starts + low)[ok], (starts + low + width)[ok], length[ok], i), ids[ok], sums[ok] | mark))
+    return tuple(np.concatenate(x) for x in zip(*rows))
+
+
+def meetings(key: np.ndarray, line: np.ndarray, sums: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among rows sorted by key: an index row and a look-up under one key, with check sums that edits can explain."""
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    if not len(heads):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Nearly every key has the rows of one line only.
+    several = np.minimum.reduceat(line, heads) != np.maximum.reduceat(line, heads)
+    sizes = np.diff(np.append(heads, len(key)))
+    found = []
+    for head, size in zip(heads[several].tolist(), sizes[several].tolist()):
+        own, mark = line[head : head + size], sums[head : head + size]
+        looks = mark & 1 == 1
+        if looks.all() or not looks.any():
+            continue
+        _, a = np.unique(own[~looks], return_index=True)
+        a, a_sums = own[~looks][a], mark[~looks][a]
+        _, b = np.unique(np.stack([own[looks], mark[looks]], 1), axis=0, return_index=True)
+        b, b_sums = own[looks][b], mark[looks][b]
+        for at in range(0, len(b), max(1, (1 << 20) // len(a))):
+            some, some_sums = b[at : at + max(1, (1 << 20) // len(a))], b_sums[at : at + max(1, (1 << 20) // len(a))]
+            differ = a_sums[:, None] ^ some_sums
+            ok = (a[:, None] != some) & ((some_sums >= 0) | (a[:, None] < some))
+            ok &= (np.bitwise_count(differ & _SINGLES) <= 2 * threshold) & (np.bitwise_count(differ & _PAIRS) <= 4 * threshold)
+            one, two = np.nonzero(ok)
+            found.append((a[one], some[two]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = (np.concatenate(x) for x in zip(*found))
+    return np.minimum(one, two), np.maximum(one, two)
 
 
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
-    """Edit distance of each pair of code point arrays if it is at most ``most``, else any larger number.
+    """Edit distance of each pair of byte arrays if it is at most ``most``, else any larger number.
 
     Bit-parallel over a band of ``2 * most + 1`` diagonals, whose differences sit in one word per pair; one step reads
-    one character of every ``b``. The score runs down the band's last diagonal and then along the last row.
+    one element of every ``b``. The score runs down the band's last diagonal and then along the last row.
     """
     n = len(a)
     len_a, len_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
@@ -119,14 +154,15 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.nd
         out[k] = _plain_distance(a[k], b[k])
     todo = np.flatnonzero(~tiny & (np.abs(len_a - len_b) <= most))
     one = np.uint64(1)
-    for part in np.array_split(todo[np.argsort(len_b[todo], kind="stable")], max(1, -(-len(todo) // 4096))):
-        if not len(part):
-            continue
+    todo = todo[np.argsort(-len_b[todo], kind="stable")]
+    while len(todo):  # blocks of bounded area, longest first
+        part = todo[: max(1, _AREA // int(len_b[todo[0]] + 1))]
+        todo = todo[len(part) :]
         m, la, lb = len(part), len_a[part], len_b[part]
         steps = int(lb.max())
         # Rows shifted so that step i sees a[i - most .. i + most] in columns i .. i + 2 * most.
-        left = np.full((m, steps + 3 * most + 1), -1, np.int64)
-        right = np.full((m, steps), -2, np.int64)
+        left = np.full((m, steps + 3 * most + 1), -1, np.int16)
+        right = np.full((m, steps), -2, np.int16)
         for r, k in enumerate(part):
             left[r, most : most + len(a[k])] = a[k]
             right[r, : len(b[k])] = b[k]
@@ -180,30 +216,29 @@ def occurrences(slim: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
 def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """Pairs a < b of different lines within the threshold, each once."""
-    names = ["key", "line", "sums"]
-
-    def rows(which: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in wb.slices(batch, limit=4 * wb.SLICE_BYTES):
-                    made = segment_rows(Lines(part.column("text"), shortest), threshold)[3 * which : 3 * which + 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
-
-        return slim.select("text").mapInArrow(run, "key bigint, line bigint, sums bigint")
-
-    # A line that stands in many tasks comes from each of them once; equal rows meet at their key and become one.
-    index, probe = (rows(k).repartition("key").distinct() for k in (0, 1))
-    index = index.select("key", F.col("line").alias("a"), F.col("sums").alias("a_sums"))
-    probe = probe.select("key", F.col("line").alias("b"), F.col("sums").alias("b_sums"))
-    differ = F.col("a_sums").bitwiseXOR(F.col("b_sums"))
-    met = (
-        (index["key"] == probe["key"])
-        & (F.col("a") != F.col("b"))
-        & ((F.col("b_sums").bitwiseAND(F.lit(1)) == 0) | (F.col("a") < F.col("b")))
-        & (F.bit_count(differ.bitwiseAND(F.lit(_ONES << 1))) <= 2 * threshold)
-        & (F.bit_count(differ.bitwiseAND(F.lit(_ONES << 32))) <= 4 * threshold)
-    )
-    pairs = settle(index.join(probe, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wb.slices(batch):
+                made = segment_rows(Lines(part.column("text"), shortest), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "line", "sums"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last key so far, which may go on in the next batch
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = [batch.column(c).to_numpy() for c in ("key", "line", "sums")]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None or not len(held[0]):
+                continue
+            upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+            a, b = meetings(*(x[:upto] for x in held), threshold)
+            held = [x[upto:] for x in held]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    made = slim.select("text").mapInArrow(rows, "key bigint, line bigint, sums bigint")
+    pairs = made.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    pairs = settle(pairs.distinct(), "pairs")
 
     sieve = Sieve(pairs.select(F.explode(F.array("a", "b")).alias("line")), "line")
 
@@ -213,13 +248,13 @@ def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
                 lines = Lines(part.column("text"), shortest)
                 _, first = np.unique(lines.ids, return_index=True)
                 first = first[sieve.passes(lines.ids[first])]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.ids[first]), pa.array([lines.text(k) for k in first], pa.string())], names=["line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines.ids[first]), pa.array([lines.text(k) for k in first], pa.binary())], names=["line", "words"])
 
-    texts = settle(slim.select("text").mapInArrow(wanted, "line bigint, words string").groupBy("line").agg(F.min("words").alias("words")), "lines")
+    texts = settle(slim.select("text").mapInArrow(wanted, "line bigint, words binary").groupBy("line").agg(F.min("words").alias("words")), "lines")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [[np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) for x in batch.column(c).to_pylist()] for c in ("a_words", "b_words")]
+            points = [[np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("a_words", "b_words")]
             near = pa.array(edit_distances(*points, threshold) <= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 

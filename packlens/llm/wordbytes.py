@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -131,7 +131,7 @@ def hashes_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of the bytes."""
-    return hashes_of(running_sums(_BYTE_CODE[data]), starts, ends)
+    return hashes_of(running_sums(BYTE_CODE[data]), starts, ends)
 
 
 def words(column: pa.Array, is_word: np.ndarray, lower: bool) -> Words:
