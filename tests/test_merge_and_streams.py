@@ -44,3 +44,11 @@ def test_search_takes_a_backslash_as_itself(spark):
     assert [r["scan_id"] for r in scan_search(scans, q="a\\b").collect()] == [3]
     assert [r["scan_id"] for r in history_page(scans, sort="scan_id", descending=False, page=9).collect()] == [20, 21, 22, 23, 24]
     assert history_page(scans.limit(0)).count() == 0
+
+
+def test_names_of_one_character_match(spark):
+    from packlens.operators.gazetteer import match_names
+
+    queries = spark.createDataFrame([("made by x company",), ("nothing of it",)], "query string")
+    names = spark.createDataFrame([("x", 0), ("zzzz zzzz", 1)], "name string, position int")
+    assert [(r["query"], r["name"], r["score"]) for r in match_names(queries, names).collect()] == [("made by x company", "x", 100.0)]
