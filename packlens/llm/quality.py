@@ -169,25 +169,27 @@ def _sparse_logistic(row, col, value, y, n_cols, penalty: float, steps: int = 20
     return w, b
 
 
-def fit(row, number, value, y: np.ndarray, held: np.ndarray, penalty: float = 1e-3, least: int = 4) -> Model | None:
-    """A model of the rows that are not held out, with its probability scale from those that are."""
+def fit(row, col, numbers, value, y: np.ndarray, held: np.ndarray, penalty: float = 1e-3, least: int = 4) -> Model | None:
+    """A model of the rows that are not held out, with its probability scale from those that are.
+
+    Entry k of the sparse matrix says that text ``row[k]`` has ``value[k]`` of feature ``numbers[col[k]]``.
+    """
     train = ~held
     if len(set(y[train])) < 2:
         return None
     used = train[row]
-    numbers, col = np.unique(number[used], return_inverse=True)
-    often = np.bincount(col, minlength=len(numbers)) >= least
+    often = np.bincount(col[used], minlength=len(numbers)) >= least
     # Features whose pull at the start is far below the penalty stay at zero; leave them out from the beginning.
     share = np.where(y == 1, 0.5 / y[train].mean(), 0.5 / (1 - y[train].mean())) / train.sum()
-    pull = np.bincount(col, (share * (0.5 - y))[row[used]] * value[used], len(numbers))
+    pull = np.bincount(col, (share * (0.5 - y) * train)[row] * value, len(numbers))
     often &= np.abs(pull) >= 0.5 * penalty
-    keep = often[col]
-    renumber = np.cumsum(often) - 1
-    position = np.cumsum(train) - 1
-    w, b = _sparse_logistic(position[row[used][keep]], renumber[col[keep]], value[used][keep], y[train].astype(float), int(often.sum()), penalty)
+    keep = used & often[col]
+    renumber, position = np.cumsum(often) - 1, np.cumsum(train) - 1
+    w, b = _sparse_logistic(position[row[keep]], renumber[col[keep]], value[keep].astype(float), y[train].astype(float), int(often.sum()), penalty)
     kept = np.flatnonzero(w)
     model = Model(numbers[often][kept], w[kept], float(b))
-    z = model.scores(len(y), row, number, value)[held]
+    mine = np.flatnonzero(often[col] & held[row])
+    z = model.scores(len(y), row[mine], numbers[col[mine]], value[mine].astype(float))[held]
     if len(set(y[held])) == 2:
         # Platt's two parameters by Newton steps on smoothed targets.
         pos, neg = y[held].sum(), (1 - y[held]).sum()
@@ -231,10 +233,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not got.num_rows:
         return {"quality": None, "toxic": None}
     number, value = (got.column(c).combine_chunks() for c in ("number", "value"))
-    row = np.repeat(np.arange(got.num_rows), number.value_lengths().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(got.num_rows, dtype=np.int32), number.value_lengths().to_numpy(zero_copy_only=False))
+    marks = {name: got.column(name).to_numpy().clip(0, 1) for name in ("quality", "toxic")}
+    numbers = np.unique(number.flatten().to_numpy())
+    col = np.searchsorted(numbers, number.flatten().to_numpy()).astype(np.int32)
+    value = value.flatten().to_numpy()
     held = np.arange(got.num_rows) % 5 == 4
-    made = lambda name: fit(row, number.flatten().to_numpy(), value.flatten().to_numpy().astype(float), got.column(name).to_numpy().clip(0, 1), held)
-    return {name: made(name) for name in ("quality", "toxic")}
+    del got, number
+    return {name: fit(row, col, numbers, value, y, held) for name, y in marks.items()}
 
 
 def score(docs: DataFrame, models: dict[str, Model | None], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
