@@ -185,7 +185,9 @@ def linked_texts(slim: DataFrame, least: float = SIMILAR) -> DataFrame:
     while not pairs.isEmpty():
         result = settle(_compared(pairs, texts, least), "compared")
         done.append(result)
-        open_hubs = result.where("NOT near AND size(keys) > 0").select("hub").distinct()
+        # A hub's only close member has nobody to meet in that hub's buckets.
+        close = result.where("size(keys) > 0").groupBy("hub").agg(F.count("*").alias("n"), F.min("near").alias("all_near"))
+        open_hubs = close.where("n > 1 AND NOT all_near").select("hub")
         # The settled members stay in: one that has not reached the hub may still be near one that has.
         again = result.join(open_hubs, "hub").select(F.explode("keys").alias("key"), "uid", F.col("near").alias("settled"), "rest")
         pairs = _stars(settle(again, "rows"))
