@@ -6,12 +6,13 @@ same shingles are drawn and stand in the same order, so sketches follow edit sim
 ``SKETCHES`` sketches meet in a bucket.
 
 A bucket makes no pairs of all its members. The member with the most bucket mates stands for it and each other member is aligned
-with it: common labelled shingles in the same order, within the band that the similarity allows. Where a member
-comes close but does not reach the similarity, it could be near another member that the bucket's hub hides, so all close
-members are dealt into smaller buckets by minima of what they have and neither this hub nor those before it have: two
-documents near each other share much of that. This goes on until no bucket has an unsettled member; nothing is capped. Members far from a hub
-(less than ``CLOSE``) are left to their other sketches: of the sketches that two near documents share, more than two
-thirds then keep that hub out, so all of them let it in with a chance of less than one in ten thousand.
+with it: common labelled shingles in the same order, within the band that the similarity allows. A member that does not
+reach the similarity could be near another member that the bucket's hub hides, so members are dealt into smaller buckets, in
+two ways. All that do not reach it, close or far, are dealt by their first shingles in an order that has the hub's last, one
+more than a near text can lack: two near texts always share one of those, so no such pair is lost behind a hub. All close members (``CLOSE`` or
+more), those that reach the similarity included, are dealt by minima of what they have and neither this hub nor those
+before it have: two documents near each other share much of that. This goes on until no bucket has an unsettled member
+with a hub it has not met; nothing is capped.
 
 Similarity is the share of order-keeping common shingles in all shingles, ``SIMILAR`` or more. Linked texts form classes.
 
@@ -41,6 +42,8 @@ DRAWN = 3
 SKETCHES = 16
 SIMILAR = 0.8
 CLOSE = 0.5
+# Smaller buckets of so few members compare all pairs at once, instead of level by level.
+FEW = 32
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = wb.mix(np.arange(1, 2 * 64 + 1, dtype=np.uint64)).reshape(2, 64) | np.uint64(1)
 
@@ -116,6 +119,16 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return matched / (total - matched)
 
 
+def _leading(text: np.ndarray, hub: np.ndarray, least: float) -> np.ndarray:
+    """Shingles of which a text shares one with every text at least ``least`` like it: the first in an order with the hub's last."""
+    lacks = len(text) - int(np.ceil(least * len(text) - 1e-9))
+    outside = np.setdiff1d(text, hub, assume_unique=True)
+    outside.sort()
+    if len(outside) <= lacks:
+        outside = np.concatenate([outside, np.intersect1d(text, hub, assume_unique=True)])
+    return outside[: lacks + 1]
+
+
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("uid", F.unhex(F.md5("text")))
 
@@ -132,46 +145,54 @@ def _bucket_rows(slim: DataFrame) -> DataFrame:
     return slim.select("text", "uid").where("text IS NOT NULL").mapInArrow(run, "key bigint, uid binary").distinct()
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs (hub, uid, rest) of a bucket's members with the member that has most bucket mates.
+def _stars(rows: DataFrame, few: int = 0) -> DataFrame:
+    """Pairs (hub, uid, rest, open) of a bucket's members with the member that has most bucket mates.
 
-    rows: key, uid, settled, rest. Members that are both settled hang together already.
+    rows: key, uid, settled, rest. Members that are both settled hang together already. Buckets of at most ``few``
+    members give all their pairs, which are not open: nothing is hidden there.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("settled").alias("all_settled")).where("n > 1 AND NOT all_settled")
     shared = settle(rows.join(sizes.select("key", "n"), "key"), "buckets")
+    small = shared.where(F.col("n") <= few).select("key", "uid", "settled")
+    other = small.toDF("key", "other", "other_settled")
+    direct = small.join(other, "key").where("uid < other AND NOT (settled AND other_settled)").select(F.col("uid").alias("hub"), F.col("other").alias("uid"), F.lit(None).cast("array<bigint>").alias("rest"), F.lit(False).alias("open"))
+    shared = shared.where(F.col("n") > few)
     mates = shared.groupBy("uid").agg(F.sum("n").alias("mates"))
     hubs = shared.select("key", "uid", "settled").join(mates, "uid").groupBy("key").agg(F.max(F.struct("mates", "uid", "settled")).alias("hub"))
     met = shared.join(hubs, "key").where("uid <> hub.uid AND NOT (settled AND hub.settled)")
-    return met.groupBy(F.col("hub.uid").alias("hub"), "uid").agg(F.max("rest").alias("rest"))
+    met = met.select(F.col("hub.uid").alias("hub"), "uid", "rest", F.lit(True).alias("open"))
+    return (met.union(direct) if few else met).groupBy("hub", "uid").agg(F.max("rest").alias("rest"), F.max("open").alias("open"))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """hub, uid, near, and for close ones the rest: what neither this hub nor those before it have; with the keys it gives."""
-    names = ["hub", "uid", "near", "rest", "keys"]
+    """hub, uid, near, the keys of smaller buckets (lead) for those not near, and for close ones the rest: what neither this hub nor those before it have; with the keys it gives."""
+    names = ["hub", "uid", "near", "rest", "keys", "lead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (small for part in wb.slices(batch, "uid_text") for small in wb.slices(part, "hub_text")):
                 (a, a_bounds), (b, b_bounds) = shingles(part.column("hub_text")), shingles(part.column("uid_text"))
-                near, rests, keys = [], [], []
-                for k, (hub, rest) in enumerate(zip(part.column("hub").to_pylist(), part.column("rest"))):
+                near, rests, keys, leads = [], [], [], []
+                for k, (hub, rest, goes_on) in enumerate(zip(part.column("hub").to_pylist(), part.column("rest"), part.column("open").to_pylist())):
                     one, two = a[a_bounds[k] : a_bounds[k + 1]], b[b_bounds[k] : b_bounds[k + 1]]
                     alike = aligned(one, two, least)
                     near.append(alike >= least)
                     if rest.is_valid:
                         two = rest.values.to_numpy().view(np.uint64)
-                    left = np.setdiff1d(two, one, assume_unique=True) if alike >= CLOSE else two[:0]
+                    left = np.setdiff1d(two, one, assume_unique=True) if goes_on and alike >= CLOSE else two[:0]
                     context = np.frombuffer(hub[:8], np.uint64)
                     made = [int(wb.mix(context + np.uint64(s) + ((left ^ _SEEDS[0, s]) * _SEEDS[1, s]).min()).view(np.int64)[0]) for s in range(SKETCHES)] if len(left) else []
                     rests.append(left.view(np.int64))
                     keys.append(made)
+                    first = _leading(b[b_bounds[k] : b_bounds[k + 1]], one, least) if goes_on and alike < least else two[:0]
+                    leads.append(wb.mix(wb.mix(context + np.uint64(SKETCHES)) + first).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("hub"), part.column("uid"), pa.array(near, pa.bool_()), pa.array(rests, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=names
+                    [part.column("hub"), part.column("uid"), pa.array(near, pa.bool_()), *(pa.array(x, pa.list_(pa.int64())) for x in (rests, keys, leads))], names=names
                 )
 
     hub_texts = texts.select(F.col("uid").alias("hub"), F.col("text").alias("hub_text"))
     full = pairs.join(hub_texts, "hub").join(texts.select("uid", F.col("text").alias("uid_text")), "uid")
-    return full.select("hub", "uid", "rest", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean, rest array<bigint>, keys array<bigint>")
+    return full.select("hub", "uid", "rest", "open", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean, rest array<bigint>, keys array<bigint>, lead array<bigint>")
 
 
 def linked_texts(slim: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -185,14 +206,19 @@ def linked_texts(slim: DataFrame, least: float = SIMILAR) -> DataFrame:
     while not pairs.isEmpty():
         result = settle(_compared(pairs, texts, least), "compared")
         done.append(result)
-        # A hub's only close member has nobody to meet in that hub's buckets.
-        close = result.where("size(keys) > 0").groupBy("hub").agg(F.count("*").alias("n"), F.min("near").alias("all_near"))
-        open_hubs = close.where("n > 1 AND NOT all_near").select("hub")
+        # A hub's only member with keys has nobody to meet in that hub's buckets.
+        close = result.where("size(keys) > 0 OR size(lead) > 0").groupBy("hub").agg(F.count("*").alias("n"), F.min("near").alias("all_near"))
+        again = result.join(close.where("n > 1 AND NOT all_near").select("hub"), "hub")
         # The settled members stay in: one that has not reached the hub may still be near one that has.
-        again = result.join(open_hubs, "hub").select(F.explode("keys").alias("key"), "uid", F.col("near").alias("settled"), "rest")
-        pairs = _stars(settle(again, "rows"))
+        by_rest = again.select(F.explode("keys").alias("key"), "uid", F.col("near").alias("settled"), "rest")
+        by_lead = again.select(F.explode("lead").alias("key"), "uid", F.lit(False).alias("settled"), F.lit(None).cast("array<bigint>").alias("rest"))
+        pairs = settle(_stars(settle(by_rest.union(by_lead), "rows"), FEW), "stars")
         known = reduce(DataFrame.union, [d.select(*names) for d in done for names in (("hub", "uid"), ("uid", "hub"))])
-        pairs = settle(pairs.join(known.toDF("hub", "uid").distinct(), ["hub", "uid"], "left_anti"), "pairs")
+        new = settle(pairs.join(known.toDF("hub", "uid").distinct(), ["hub", "uid"], "left_anti"), "new")
+        # A hub with somebody new takes its known members along: the new one may be near them.
+        hubs = new.where("open").select("hub").distinct()
+        old = pairs.where("open").join(hubs, "hub", "left_semi").join(new.select("hub", "uid"), ["hub", "uid"], "left_anti")
+        pairs = settle(new.unionByName(old), "pairs")
     found = [d.where("near").select(F.col("hub").alias("a"), F.col("uid").alias("b")) for d in done]
     return reduce(DataFrame.union, found) if found else pairs.select(F.col("hub").alias("a"), F.col("uid").alias("b"))
 
