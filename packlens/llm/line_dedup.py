@@ -5,10 +5,11 @@ shifted by no more than the edits before it; so every line is indexed under its
 under the segments of all lengths it may match, and only lines that meet there are compared: rows are dealt out and
 sorted by segment, and each task matches neighbours. There a check sum is compared first, in which an edit changes few
 bits, so that many variants of one line make no rows for pairs that differ by more; what is left is settled by a banded
-bit-parallel edit distance over all pairs at once. Lengths and edits are counted in UTF-8 bytes.
+bit-parallel edit distance over all pairs at once. Lengths and edits are counted in characters (code points), which are
+bytes where a slice of texts is ASCII.
 
 Equal lines are one line from the start. Linked lines form classes; the first occurrence of a class, by document id, then
-text, then line, stays, and later ones go. Lines shorter than ``SHORTEST`` bytes are left alone.
+text, then line, stays, and later ones go. Lines shorter than ``SHORTEST`` characters are left alone.
 
 Defined cases: a null text has no lines and stays null; empty lines are short ones; a document that had lines and loses all of its
 words is a copy of others and goes. Rows equal in id and text are one document: they get the same result. Null ids come
@@ -40,20 +41,34 @@ _AREA = 1 << 21
 
 
 class Lines:
-    """The lines of several texts that are long enough, as spans of bytes."""
+    """The lines of several texts that are long enough, as spans of bytes (starts, ends) and of characters (low, high).
 
-    def __init__(self, column: pa.Array, shortest: int = SHORTEST) -> None:
+    With ``characters`` false every byte counts as a character.
+    """
+
+    def __init__(self, column: pa.Array, shortest: int = SHORTEST, characters: bool = True) -> None:
         self.data, offsets = wb.text_buffer(column)
         feeds = np.flatnonzero(self.data == 10)
         cuts = np.unique(np.concatenate([offsets[:-1], feeds + 1]))  # where lines begin
         cuts = cuts[cuts < len(self.data)]
         ends = np.append(cuts[1:], len(self.data))[: len(cuts)]
         ends = ends - (self.data[ends - 1] == 10)
-        keep = ends - cuts >= shortest
-        self.starts, self.ends = cuts[keep], ends[keep]
+        self.sums = wb.running_sums(wb.BYTE_CODE[self.data])
+        self.letters, self.place = self.data, np.arange(len(self.data) + 1)
+        low, high = cuts, ends
+        if characters and (self.data >= 0x80).any():
+            heads = (self.data & 0xC0) != 0x80
+            heads[cuts] = True
+            self.place = np.append(np.flatnonzero(heads), len(self.data))
+            low, high = np.searchsorted(self.place, cuts), np.searchsorted(self.place, ends)
+            # One byte for each character, the same for equal ones.
+            self.letters = self.data[self.place[:-1]]
+            codes = self.hashes(self.place[:-1], self.place[1:])
+            self.letters = np.where(self.letters < 0x80, self.letters, (codes % np.uint64(128)).astype(np.uint8) + np.uint8(128))
+        keep = high - low >= shortest
+        self.starts, self.ends, self.low, self.high = cuts[keep], ends[keep], low[keep], high[keep]
         self.row = np.searchsorted(offsets, self.starts, "right") - 1
         self.number = np.searchsorted(feeds, self.starts) - np.searchsorted(feeds, offsets[self.row])
-        self.sums = wb.running_sums(wb.BYTE_CODE[self.data])
         self.ids = self.hashes(self.starts, self.ends).view(np.int64)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -63,13 +78,13 @@ class Lines:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
     def check_sums(self, which: np.ndarray) -> np.ndarray:
-        """Parities of how often bytes (bits 1-31) and byte pairs (bits 32-62) of each kind stand in some of the lines."""
+        """Parities of how often letters (bits 1-31) and letter pairs (bits 32-62) of each kind stand in some of the lines."""
         if not len(which):
             return np.zeros(0, np.int64)
-        pairs = _PAIR_BIT[(self.data[:-1].astype(np.uint16) << 8) | self.data[1:]]
-        singles = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_BYTE_BIT[self.data])])
+        pairs = _PAIR_BIT[(self.letters[:-1].astype(np.uint16) << 8) | self.letters[1:]]
+        singles = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_BYTE_BIT[self.letters])])
         pairs = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(pairs)])
-        starts, ends = self.starts[which], self.ends[which]
+        starts, ends = self.low[which], self.high[which]
         return (singles[ends] ^ singles[starts] ^ pairs[ends - 1] ^ pairs[starts]).view(np.int64)
 
 
@@ -86,13 +101,13 @@ def _segment(length: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np
 
 
 def _keys(lines: Lines, starts: np.ndarray, ends: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
-    return wb.mix(lines.hashes(starts, ends) + wb.mix((length * 64 + i).astype(np.uint64))).view(np.int64)
+    return wb.mix(lines.hashes(lines.place[starts], lines.place[ends]) + wb.mix((length * 64 + i).astype(np.uint64))).view(np.int64)
 
 
 def segment_rows(lines: Lines, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, lines and check sums: index rows (lowest bit of the check sum 0), and look-ups (1; highest bit set for equal lengths)."""
     _, first = np.unique(lines.ids, return_index=True)
-    starts, size = lines.starts[first], (lines.ends - lines.starts)[first]
+    starts, size = lines.low[first], (lines.high - lines.low)[first]
     ids, sums = lines.ids[first], lines.check_sums(first)
     rows = []
     for i in range(threshold + 1):
@@ -141,7 +156,7 @@ def meetings(key: np.ndarray, line: np.ndarray, sums: np.ndarray, threshold: int
 
 
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
-    """Edit distance of each pair of byte arrays if it is at most ``most``, else any larger number.
+    """Edit distance of each pair of byte or code point arrays if it is at most ``most``, else any larger number.
 
     Bit-parallel over a band of ``2 * most + 1`` diagonals, whose differences sit in one word per pair; one step reads
     one element of every ``b``. The score runs down the band's last diagonal and then along the last row.
@@ -161,8 +176,8 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.nd
         m, la, lb = len(part), len_a[part], len_b[part]
         steps = int(lb.max())
         # Rows shifted so that step i sees a[i - most .. i + most] in columns i .. i + 2 * most.
-        left = np.full((m, steps + 3 * most + 1), -1, np.int16)
-        right = np.full((m, steps), -2, np.int16)
+        left = np.full((m, steps + 3 * most + 1), -1, np.int32)
+        right = np.full((m, steps), -2, np.int32)
         for r, k in enumerate(part):
             left[r, most : most + len(a[k])] = a[k]
             right[r, : len(b[k])] = b[k]
@@ -214,13 +229,17 @@ def occurrences(slim: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, text_key bigint, number bigint, line bigint")
 
 
-def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """Pairs a < b of different lines within the threshold, each once."""
+def _points(line: bytes) -> np.ndarray:
+    return np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), np.int32)
+
+
+def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, characters: bool = False) -> DataFrame:
+    """Pairs a < b of different lines within the threshold, each once, measured in characters or in bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wb.slices(batch):
-                made = segment_rows(Lines(part.column("text"), shortest), threshold)
+                made = segment_rows(Lines(part.column("text"), shortest, characters), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "line", "sums"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +264,7 @@ def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wb.slices(batch):
-                lines = Lines(part.column("text"), shortest)
+                lines = Lines(part.column("text"), shortest, characters)
                 _, first = np.unique(lines.ids, return_index=True)
                 first = first[sieve.passes(lines.ids[first])]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.ids[first]), pa.array([lines.text(k) for k in first], pa.binary())], names=["line", "words"])
@@ -254,7 +273,7 @@ def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [[np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("a_words", "b_words")]
+            points = [[_points(x) if characters else np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("a_words", "b_words")]
             near = pa.array(edit_distances(*points, threshold) <= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 
@@ -266,7 +285,7 @@ def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
 
 def _judged(slim: DataFrame, threshold: int, shortest: int) -> tuple[DataFrame, DataFrame]:
     """Occurrences with class and links of their line, and the occurrence of each class that stays."""
-    links = linked_lines(slim, threshold, shortest)
+    links = linked_lines(slim, threshold, shortest, characters=True)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = settle(components(links).join(degree, "node"), "classes")
     seen = occurrences(slim, shortest).distinct()
