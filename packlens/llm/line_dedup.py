@@ -9,7 +9,9 @@ bit-parallel edit distance over all pairs at once. Lengths and edits are counted
 bytes where a slice of texts is ASCII.
 
 Equal lines are one line from the start. Linked lines form classes; the first occurrence of a class, by document id, then
-text, then line, stays, and later ones go. Lines shorter than ``SHORTEST`` characters are left alone.
+text, then line, stays, and later ones go. Lines shorter than ``SHORTEST`` characters
+are in one class if they are equal, and never otherwise; empty lines have no class. ``drop_repeated_lines`` drops short
+lines only with ``short_lines``.
 
 Defined cases: a null text has no lines and stays null; empty lines are short ones; a document that had lines and loses all of its
 words is a copy of others and goes. Rows equal in id and text are one document: they get the same result. Null ids come
@@ -212,21 +214,21 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
-def occurrences(slim: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, text_key, number, line: every line that is long enough."""
+def occurrences(slim: DataFrame, shortest: int = SHORTEST, short_lines: bool = False) -> DataFrame:
+    """doc_id, text_key, number, line, short: every line that is long enough; with ``short_lines`` all that are not empty."""
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wb.slices(batch):
-                lines = Lines(part.column("text"), shortest)
+                lines = Lines(part.column("text"), 1 if short_lines else shortest)
                 row = pa.array(lines.row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(row), part.column("text_key").take(row), pa.array(lines.number, pa.int64()), pa.array(lines.ids)],
-                    names=["doc_id", "text_key", "number", "line"],
+                    [part.column("doc_id").take(row), part.column("text_key").take(row), pa.array(lines.number, pa.int64()), pa.array(lines.ids), pa.array(lines.high - lines.low < shortest)],
+                    names=["doc_id", "text_key", "number", "line", "short"],
                 )
 
-    return slim.mapInArrow(run, f"doc_id {kind}, text_key bigint, number bigint, line bigint")
+    return slim.mapInArrow(run, f"doc_id {kind}, text_key bigint, number bigint, line bigint, short boolean")
 
 
 def _points(line: bytes) -> np.ndarray:
@@ -283,28 +285,28 @@ def linked_lines(slim: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
     return settle(both.mapInArrow(verify, "a bigint, b bigint"), "linked")
 
 
-def _judged(slim: DataFrame, threshold: int, shortest: int) -> tuple[DataFrame, DataFrame]:
+def _judged(slim: DataFrame, threshold: int, shortest: int, short_lines: bool) -> tuple[DataFrame, DataFrame]:
     """Occurrences with class and links of their line, and the occurrence of each class that stays."""
     links = linked_lines(slim, threshold, shortest, characters=True)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = settle(components(links).join(degree, "node"), "classes")
-    seen = occurrences(slim, shortest).distinct()
+    seen = occurrences(slim, shortest, short_lines).distinct()
     full = seen.join(known, seen["line"] == known["node"], "left").select(
-        "doc_id", "text_key", "number", "line", F.coalesce("class", "line").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
+        "doc_id", "text_key", "number", "line", "short", F.coalesce("class", "line").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
     )
     full = settle(full, "occurrences")
-    first = full.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("first")).select("class", "first.*")
+    first = full.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "number", "short")).alias("first")).select("class", "first.*")
     return full, first
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, n_long_lines, n_kept, n_links, line_classes (in the order of the lines)."""
+    """One row per row of ``docs``: doc_id, text_key, n_long_lines, n_kept (of the long lines), n_links, line_classes (of all lines that are not empty, in order)."""
     slim = _slim(docs, doc_id, text)
-    full, first = _judged(slim, threshold, shortest)
+    full, first = _judged(slim, threshold, shortest, True)
     per_doc = full.groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("n_long_lines"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.struct("number", "class"))).alias("in_order")
+        F.count_if(~F.col("short")).alias("n_long_lines"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.struct("number", "class"))).alias("in_order")
     )
-    kept = first.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count("*").alias("n_kept"))
+    kept = first.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count_if(~F.col("short")).alias("n_kept"))
     per_doc = per_doc.join(kept, per_doc["doc_id"].eqNullSafe(kept["kept_id"]) & (per_doc["text_key"] == kept["kept_key"]), "left").select(
         F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "n_long_lines", "n_links", "n_kept", F.col("in_order.class").alias("line_classes")
     )
@@ -316,10 +318,10 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
     )
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, short_lines: bool = False) -> DataFrame:
     """The documents without their repeated lines, all other columns as they are; ``n_chars``: a column to count anew."""
-    full, first = _judged(_slim(docs, doc_id, text), threshold, shortest)
-    gone = full.join(first.withColumn("stays", F.lit(True)).drop("class"), (full["doc_id"].eqNullSafe(first["doc_id"])) & (full["text_key"] == first["text_key"]) & (full["number"] == first["number"]), "left")
+    full, first = _judged(_slim(docs, doc_id, text), threshold, shortest, short_lines)
+    gone = full.join(first.withColumn("stays", F.lit(True)).drop("class", "short"), (full["doc_id"].eqNullSafe(first["doc_id"])) & (full["text_key"] == first["text_key"]) & (full["number"] == first["number"]), "left")
     gone = gone.where("stays IS NULL").groupBy(full["doc_id"].alias("_gone_id"), full["text_key"].alias("_gone_key")).agg(F.collect_list(full["number"]).alias("_gone"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_key"))
     met = rows.join(gone, rows["_id"].eqNullSafe(gone["_gone_id"]) & (rows["_key"] == gone["_gone_key"]), "left").select("_row.*", "_gone")

@@ -25,3 +25,13 @@ def test_line_edits_count_characters(spark):
         assert ld.linked_lines(ld._slim(df, "doc_id", "text"), threshold, characters=True).count() == want > 0
     two = spark.createDataFrame([(1, "これは二十文字より長い日本語の一行であります甲"), (2, "これは二十文字より長い日本語の一行であります乙")], "doc_id long, text string")
     assert {r["n_links"] for r in ld.line_classes(two).collect()} == {1}
+
+
+def test_equal_short_lines_have_one_class(spark):
+    from packlens.llm import line_dedup as ld
+
+    df = spark.createDataFrame([(1, "short\n日本語\na line that is long enough to be one"), (2, "日本語\n\nshort"), (3, "shore")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in ld.line_classes(df).collect()}
+    assert rows[1]["line_classes"][:2] == rows[2]["line_classes"][::-1] and rows[3]["line_classes"][0] not in rows[1]["line_classes"]
+    assert [(rows[k]["n_long_lines"], rows[k]["n_kept"]) for k in (1, 2, 3)] == [(1, 1), (0, 0), (0, 0)]
+    assert {r["doc_id"] for r in ld.drop_repeated_lines(df, short_lines=True).collect()} == {1, 3}
