@@ -141,6 +141,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@R.add("op12_best_fit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packlens.llm.best_fit import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @R.add("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
