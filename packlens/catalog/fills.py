@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packlens import fixed_values as fv
-from packlens.catalog.oracle_views import sql_in, with_views
+from packlens.catalog.oracle_views import LABEL_TEXT, sql_in, with_views
 from packlens.catalog.registry import Registry
 from packlens.operators import extraction, gazetteer, layout, patches, rules, tagging
 from packlens.session import scratch_path, settle
@@ -169,19 +169,92 @@ def _misread(name, k):
     return F.when(k % 4 != 0, F.concat(F.substring(name, F.lit(1), at), F.lit("~"), F.substring(name, at + 2, F.length(name)))).otherwise(name)
 
 
-@R.add("gazetteer_fix")
+#: The list of known names and the misreadings, as SQL.
+_NAMES_SQL = """SELECT name, src * (1::BIGINT << 40) + pos AS position FROM (SELECT name, src, pos, row_number() OVER (PARTITION BY lower(name) ORDER BY src, pos) AS rn FROM (
+ SELECT s_name AS name, 0 AS src, s_suppkey AS pos FROM supplier UNION ALL SELECT p_name, 1, min(p_partkey) FROM part GROUP BY p_name)) WHERE rn = 1"""
+
+
+def _misread_sql(name):
+    at = f"(scan_id % (length({name}) - 2) + 1)"
+    return f"CASE WHEN scan_id % 4 <> 0 THEN substr({name}, 1, {at}) || '~' || substr({name}, {at} + 2) ELSE {name} END"
+
+
+def _match_sql(queries, cutoff):
+    """Common table expressions ending in ``hits(query, name, score)``: partial ratio by its definition, every window of every pair of distinct strings.
+
+    Pairs whose longest common subsequence over whole strings is too short for any window are left out first.
+    """
+    step = "lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::BIGINT << n) - 1)"
+    lcs = lambda masks: f"(n - bit_count(list_reduce({masks}, {step}, (1::BIGINT << n) - 1)))"
+    return f"""names AS ({_NAMES_SQL}),
+asked AS (SELECT DISTINCT query FROM ({queries}) WHERE length(query) >= 5),
+pairs AS (SELECT query, name, position, name AS needle, query AS hay FROM asked, names WHERE length(name) <= length(query)
+  UNION ALL SELECT query, name, position, query, name FROM asked, names WHERE length(query) <= length(name)),
+letters AS (SELECT needle, string_split(needle, '') AS cs FROM (SELECT DISTINCT needle FROM pairs)),
+bits AS (SELECT needle, map_from_entries(list((c, b))) AS mk FROM (
+  SELECT needle, c, sum(1::BIGINT << (i - 1))::BIGINT AS b FROM (SELECT needle, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM letters) GROUP BY needle, c) GROUP BY needle),
+masked AS (SELECT query, name, position, length(needle) AS n, list_transform(string_split(hay, ''), lambda c: coalesce(mk[c], 0::BIGINT)) AS ms FROM pairs JOIN bits USING (needle)),
+near AS (SELECT * FROM masked WHERE {lcs("ms")} >= {cutoff / 100} * n / {2 - cutoff / 100} - 1e-9),
+cuts AS (SELECT query, name, position, n, unnest(list_transform(range(1 - n, len(ms)), lambda a: ms[greatest(a, 0) + 1:least(a + n, len(ms))])) AS w FROM near),
+scored AS (SELECT query, name, position, max(200.0 * {lcs("w")} / (n + len(w))) AS raw FROM cuts GROUP BY query, name, position),
+hits AS (SELECT query, arg_max(name, {{'r': raw, 'p': -position}}) AS name, round_even(max(raw) * 10, 0) / 10 AS score FROM scored WHERE raw >= {cutoff} GROUP BY query)"""
+
+
+_FIXED = f"SELECT scan_id, {_misread_sql('manufacturer_name')} AS maker FROM declarations WHERE manufacturer_name IS NOT NULL"
+_BETTER = "name IS NOT NULL AND NOT contains(lower(maker), lower(name))"
+
+
+@R.add("gazetteer_fix", with_views(f"""SELECT scan_id, CASE WHEN {_BETTER} THEN name ELSE maker END AS manufacturer_name, {_BETTER} AS rewritten
+ FROM read_makers LEFT JOIN hits ON hits.query = read_makers.maker""", "hits",
+    replaced={"read_makers": (_FIXED, ("declarations",)), "hits": ("WITH " + _match_sql("SELECT maker AS query FROM read_makers", gazetteer.FIX_CUTOFF) + " SELECT * FROM hits", ("read_makers",))}))
 def gazetteer_fix(spark, d):
     decl = star.declarations(spark, d).where("manufacturer_name IS NOT NULL").select("scan_id", _misread(F.col("manufacturer_name"), _k()).alias("manufacturer_name"))
     return gazetteer.gazetteer_fix(decl, _known_names(spark, d))
 
 
-@R.add("gazetteer_fill")
+_FILL_LINES = f"""SELECT scan_id, unnest([0, 1, 2]) AS pos, unnest(['Best quality', {_misread_sql('generic_name')} || ', Plot 5, Main Road', 'by ' || manufacturer_name]) AS query FROM declarations"""
+
+
+@R.add("gazetteer_fill", with_views("""SELECT scan_id, arg_max(name, {'s': score, 'p': -pos}) AS manufacturer_name, max(score) AS score
+ FROM said JOIN hits USING (query) GROUP BY scan_id""", "hits",
+    replaced={"said": (_FILL_LINES, ("declarations",)), "hits": ("WITH " + _match_sql("SELECT query FROM said WHERE query IS NOT NULL", gazetteer.FILL_CUTOFF) + " SELECT * FROM hits", ("said",))}))
 def gazetteer_fill(spark, d):
     texts = star.declarations(spark, d).select("scan_id", F.concat_ws(
         "\n", F.lit("Best quality"), F.concat(_misread(F.col("generic_name"), _k()), F.lit(", Plot 5, Main Road")), F.concat(F.lit("by "), F.col("manufacturer_name"))).alias("ocr_text"))
     return gazetteer.gazetteer_fill(texts, _known_names(spark, d))
 
 
+# Labels whose maker was misread; every third has lost its address line, so the maker is only found by the list.
+_MAKERS_SQL = "SELECT s_name AS name, s_suppkey AS position FROM supplier"
+_BROKEN_SQL = f"SELECT * REPLACE ({_misread_sql('manufacturer_name')} AS manufacturer_name) FROM declarations"
+_READ_SQL = """SELECT scan_id, ocr_confidence, found, lines, CASE WHEN scan_id % 3 <> 0 THEN found END AS maker, CASE WHEN scan_id % 3 = 0 THEN [split_part(found, ', Plot ', 1)] ELSE [] END AS bare
+ FROM (SELECT scan_id, ocr_confidence, string_split(ocr_text, chr(10)) AS lines, list_filter(string_split(ocr_text, chr(10)), lambda l: contains(l, ', Plot '))[1] AS found FROM label_text)"""
+_ASKED_FIX, _ASKED_FILL = "SELECT DISTINCT maker AS query FROM read_labels WHERE maker IS NOT NULL", """SELECT DISTINCT query FROM filled"""
+_FILLED_SQL = """SELECT scan_id, unnest(lines) AS query, unnest(range(len(lines))) AS pos FROM (SELECT scan_id,
+ list_transform(lines, lambda l: CASE WHEN l = found THEN split_part(l, ', Plot ', 1) ELSE l END) AS lines FROM read_labels WHERE maker IS NULL)"""
+
+
+def _hits_sql(queries, cutoff):
+    return "WITH " + _match_sql(queries, cutoff).replace(_NAMES_SQL, _MAKERS_SQL) + " SELECT * FROM hits"
+
+
+@R.add("extract_known_makers", with_views("""SELECT r.scan_id, CASE WHEN r.maker IS NULL THEN f.name WHEN h.name IS NULL OR contains(lower(r.maker), lower(h.name)) THEN r.maker ELSE h.name END AS manufacturer_name,
+ CASE WHEN r.maker IS NULL THEN CASE WHEN f.name IS NOT NULL THEN 'inferred' END WHEN h.name IS NOT NULL AND NOT contains(lower(r.maker), lower(h.name)) THEN 'inferred'
+  WHEN r.ocr_confidence < 60 THEN 'uncertain' ELSE 'read' END AS source
+FROM read_labels r LEFT JOIN fix_hits h ON h.query = r.maker
+LEFT JOIN (SELECT scan_id, arg_max(name, {'s': score, 'p': -pos}) AS name FROM filled JOIN fill_hits USING (query) GROUP BY scan_id) f ON f.scan_id = r.scan_id""", "fix_hits", "fill_hits",
+    replaced={"misread": (_BROKEN_SQL, ("declarations",)), "label_text": (LABEL_TEXT.replace("FROM declarations", "FROM misread"), ("misread",)), "read_labels": (_READ_SQL, ("label_text",)),
+              "filled": (_FILLED_SQL, ("read_labels",)), "fix_hits": (_hits_sql(_ASKED_FIX, gazetteer.FIX_CUTOFF), ("read_labels",)), "fill_hits": (_hits_sql(_ASKED_FILL, gazetteer.FILL_CUTOFF), ("filled",))}))
+def extract_known_makers(spark, d):
+    """Declarations from labels, with the list of known makers inside extraction."""
+    decl = star.declarations(spark, d).withColumn("manufacturer_name", _misread(F.col("manufacturer_name"), _k()))
+    bare = F.when(_k() % 3 == 0, F.regexp_replace("ocr_text", r", Plot [^\n]*", "")).otherwise(F.col("ocr_text"))
+    labels = star.compose_label(decl).withColumn("ocr_text", bare)
+    names = star.read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("position"))
+    return extraction.extract_declarations(labels, names).select(
+        "scan_id", "manufacturer_name", F.try_element_at("field_sources", F.lit("manufacturer_name")).alias("source"))
+
+
 @R.add("gazetteer_names", """SELECT name FROM (SELECT trim(n) AS name, row_number() OVER (PARTITION BY lower(trim(n)) ORDER BY src, pos) AS rn FROM (
   SELECT CASE WHEN s_suppkey % 2 = 0 THEN '  ' || s_name ELSE upper(s_name) END AS n, 0 AS src, s_suppkey AS pos FROM supplier
   UNION ALL SELECT s_name, 1, s_suppkey FROM supplier UNION ALL SELECT p_brand, 2, p_partkey FROM part) WHERE trim(n) <> '') WHERE rn = 1""")

@@ -2,7 +2,8 @@
 
 One narrow chain of steps: the normalised text and its lines become columns first, so each later field
 reads them once. Nothing is shuffled; the two spelling look-ups send only a few rare words per
-row to a pandas UDF and null for ordinary rows.
+row to a pandas UDF and null for ordinary rows. With a list of known names the chain's result is written once, and distinct
+makers and lines are matched against the list.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from packlens import fixed_values as fv
 from packlens.functions import fields as ff
 from packlens.functions.dates import parse_label_date
 from packlens.functions.text import ci, first_match, lines_of, stage, strip
+from packlens.operators.gazetteer import known_makers
+from packlens.session import settle
 
 
 def normalize_text(df: DataFrame, column: str = "ocr_text") -> DataFrame:
@@ -59,8 +62,11 @@ def read_sources() -> Column:
     return F.map_from_entries(F.array_compact(F.array(*marks)))
 
 
-def extract_declarations(label_text: DataFrame) -> DataFrame:
-    """``label_text(scan_id, ocr_text, ocr_confidence)`` to one declaration row per scan."""
+def extract_declarations(label_text: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``label_text(scan_id, ocr_text, ocr_confidence)`` to one declaration row per scan.
+
+    ``names`` (name, position): known makers, which repair the one that was read or fill a missing one from the lines (source ``inferred``).
+    """
     keep = [c for c in label_text.columns if c != "text"]
     df = with_dates(with_lines(normalize_text(label_text)))
     text, lines, said = F.col("text"), F.col("lines"), F.col("said")
@@ -76,6 +82,8 @@ def extract_declarations(label_text: DataFrame) -> DataFrame:
     blank = {c: F.lit(None).cast("double") for c in (
         "min_numeral_height_mm", "min_letter_height_mm", "min_font_height_mm", "panel_area_cm2", "min_width_to_height_ratio")}
     df = df.withColumns({**blank, "is_embossed": F.lit(False), "field_sources": read_sources()})
+    if names is not None:
+        df = known_makers(settle(df, "extracted"), names)
     return df.select(
         *keep, "manufacturer_name", "manufacturer_address", "generic_name", "net_quantity_value", "net_quantity_unit", "mrp",
         "mrp_includes_taxes", "mfg_date", "expiry_date", "consumer_care", "country_of_origin", "is_imported",

@@ -62,3 +62,77 @@ def test_best_name_equals_brute_force(spark):
         if len(q) >= 5 and top[0] >= 90:
             expected[q] = names[-top[1]]
     assert expected and {r["query"]: r["name"] for r in got} == expected
+
+
+def _slow_ratio(a, b):
+    """Best 2 * LCS / total over all windows, by the textbook table."""
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, e in enumerate(y):
+                new.append(row[j] + 1 if c == e else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def best(n, h):
+        cuts = [h[max(0, i):i + len(n)] for i in range(1 - len(n), len(h))]
+        return max(200.0 * lcs(n, c) / (len(n) + len(c)) for c in cuts)
+
+    if len(a) == len(b):
+        return max(best(a, b), best(b, a))
+    return best(*sorted((a, b), key=len))
+
+
+def test_scores_equal_the_definition():
+    rnd = random.Random(9)
+    for size in (1, 2, 7, 63, 64, 65, 130):
+        for _ in range(4):
+            a = "".join(rnd.choice("abé漢 ") for _ in range(size))
+            b = "".join(c for c in a if rnd.random() > 0.1) + "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 9)))
+            if b:
+                assert abs(gazetteer.partial_ratio(a, b) - _slow_ratio(a, b)) < 1e-9
+
+
+def test_long_names_and_hot_segments(spark, monkeypatch):
+    rnd = random.Random(4)
+    monkeypatch.setattr(gazetteer, "PER_SALT", 3)  # the shared stem is dealt over several salts
+    stem = "The Very Long Registered Name of a Family Company from the Old Town by the River "
+    names = [stem + "".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(12)] + ["Abc", "Old Town", "x"]
+    queries = []
+    for n in names[:12]:
+        at = rnd.randrange(len(n))
+        queries += [f"made by {n[:at]}~{n[at + 1:]}, Pune", n[:at] + n[at + 1:], n[:at] + "qq" + n[at:]]
+    queries += ["Old  Town", "Town b", "  ", "River", None]
+    for cutoff in (90.0, 93.0):
+        got = gazetteer.match_names(spark.createDataFrame([(q,) for q in queries], "query string"),
+                                    spark.createDataFrame(list(zip(names, range(len(names)))), "name string, position long"), cutoff=cutoff)
+        expected = {}
+        for q in {" ".join(q.split()) for q in queries if q}:
+            top = max((_slow_ratio(q, n), -i) for i, n in enumerate(names)) if q else (0, 0)
+            if len(q) >= 5 and top[0] >= cutoff:
+                expected[q] = names[-top[1]]
+        assert {r["query"]: r["name"] for r in got.collect()} == expected
+
+
+def test_known_makers_inside_extraction(spark):
+    from packlens.operators.extraction import extract_declarations
+
+    names = spark.createDataFrame([("Hindustan Unilever", 0), ("Acme Foods", 1), ("Patanjali Foods", 2), ("Tata", 3)], "name string, position long")
+    texts = [
+        "Instant Noodles\nHindustan Uniiever Ltd, Mumbai 400001\nNet Qty: 60 g",
+        "Instant Noodles\nHindustan Uniiever Ltd\nNet Qty: 60 g",
+        "Atta\nManufactured by: Patanjali Foods Limited\nHaridwar 249401",
+        "Xyzzy Quux\nCustomer Care: care@example.in 1800-123-456\nPack of 9 tablets",
+        "", None,
+    ]
+    df = spark.createDataFrame([(i, t, 40.0) for i, t in enumerate(texts)], "scan_id long, ocr_text string, ocr_confidence double")
+    plain = {r.scan_id: r for r in extract_declarations(df).collect()}
+    known = {r.scan_id: r for r in extract_declarations(df, names).collect()}
+    assert known.keys() == plain.keys()
+    assert known[0].manufacturer_name == known[1].manufacturer_name == "Hindustan Unilever"
+    assert known[0].field_sources["manufacturer_name"] == known[1].field_sources["manufacturer_name"] == "inferred"
+    assert known[2].manufacturer_name == plain[2].manufacturer_name and known[2].field_sources == plain[2].field_sources
+    assert all(known[i].manufacturer_name is None and known[i].field_sources == plain[i].field_sources for i in (3, 4, 5))
+    drop = ("manufacturer_name", "field_sources")
+    assert all(known[i][c] == plain[i][c] for i in known for c in plain[0].asDict() if c not in drop)
