@@ -13,7 +13,7 @@ HEADLINE = (
     "failing_rules_by_verdict", "evaluate_compliance", "annotate_failure", "top_failed_rules", "report_counts",
     "verdict_counts_newest", "scan_search", "line_union", "measured_frame", "visual_lines", "gtin_cards",
     "extract_declarations", "extract_documents", "field_accuracy", "bio_from_patterns", "span_prf",
-    "stream_findings",
+    "stream_findings", "gazetteer_fill",
 )
 
 
