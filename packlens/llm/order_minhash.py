@@ -7,12 +7,11 @@ same shingles are drawn and stand in the same order, so sketches follow edit sim
 
 A bucket makes no pairs of all its members. The member with the most bucket mates stands for it and each other member is aligned
 with it: common labelled shingles in the same order, within the band that the similarity allows. A member that does not
-reach the similarity could be near another member that the bucket's hub hides, so members are dealt into smaller buckets, in
-two ways. All that do not reach it, close or far, are dealt by their first shingles in an order that has the hub's last, one
-more than a near text can lack: two near texts always share one of those, so no such pair is lost behind a hub. All close members (``CLOSE`` or
-more), those that reach the similarity included, are dealt by minima of what they have and neither this hub nor those
-before it have: two documents near each other share much of that. This goes on until no bucket has an unsettled member
-with a hub it has not met; nothing is capped.
+reach the similarity could be near another member that the bucket's hub hides. So wherever a bucket has such a member and
+another one, all its members are dealt once more, by a prefix filter: every text's labelled shingles in one order for
+all texts, rarest first, cut to one more than a near text can lack. Two near texts always share one of those, so no pair is lost behind a hub. Texts
+that share one meet if they are not in one class already, and if their lengths and the places of the shared shingle leave
+room for the similarity. Rareness comes from counters of fixed size over all texts dealt; any order would find the same pairs.
 
 Similarity is the share of order-keeping common shingles in all shingles, ``SIMILAR`` or more. Linked texts form classes.
 
@@ -26,7 +25,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +39,7 @@ SHINGLE = 5
 DRAWN = 3
 SKETCHES = 16
 SIMILAR = 0.8
-CLOSE = 0.5
-# Smaller buckets of so few members compare all pairs at once, instead of level by level.
-FEW = 32
+COUNTER_BITS = 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = wb.mix(np.arange(1, 2 * 64 + 1, dtype=np.uint64)).reshape(2, 64) | np.uint64(1)
 
@@ -119,14 +115,10 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return matched / (total - matched)
 
 
-def _leading(text: np.ndarray, hub: np.ndarray, least: float) -> np.ndarray:
-    """Shingles of which a text shares one with every text at least ``least`` like it: the first in an order with the hub's last."""
+def prefix(text: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """Positions of the shingles of which a text shares one with every text at least ``least`` like it: the first ones by (rank, shingle)."""
     lacks = len(text) - int(np.ceil(least * len(text) - 1e-9))
-    outside = np.setdiff1d(text, hub, assume_unique=True)
-    outside.sort()
-    if len(outside) <= lacks:
-        outside = np.concatenate([outside, np.intersect1d(text, hub, assume_unique=True)])
-    return outside[: lacks + 1]
+    return np.lexsort((text, rank))[: lacks + 1]
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -145,82 +137,106 @@ def _bucket_rows(slim: DataFrame) -> DataFrame:
     return slim.select("text", "uid").where("text IS NOT NULL").mapInArrow(run, "key bigint, uid binary").distinct()
 
 
-def _stars(rows: DataFrame, few: int = 0) -> DataFrame:
-    """Pairs (hub, uid, rest, open) of a bucket's members with the member that has most bucket mates.
-
-    rows: key, uid, settled, rest. Members that are both settled hang together already. Buckets of at most ``few``
-    members give all their pairs, which are not open: nothing is hidden there.
-    """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("settled").alias("all_settled")).where("n > 1 AND NOT all_settled")
-    shared = settle(rows.join(sizes.select("key", "n"), "key"), "buckets")
-    small = shared.where(F.col("n") <= few).select("key", "uid", "settled")
-    other = small.toDF("key", "other", "other_settled")
-    direct = small.join(other, "key").where("uid < other AND NOT (settled AND other_settled)").select(F.col("uid").alias("hub"), F.col("other").alias("uid"), F.lit(None).cast("array<bigint>").alias("rest"), F.lit(False).alias("open"))
-    shared = shared.where(F.col("n") > few)
+def _stars(rows: DataFrame) -> DataFrame:
+    """key, hub, uid: a bucket's members with the member that has most bucket mates."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = settle(rows.join(sizes, "key"), "buckets")
     mates = shared.groupBy("uid").agg(F.sum("n").alias("mates"))
-    hubs = shared.select("key", "uid", "settled").join(mates, "uid").groupBy("key").agg(F.max(F.struct("mates", "uid", "settled")).alias("hub"))
-    met = shared.join(hubs, "key").where("uid <> hub.uid AND NOT (settled AND hub.settled)")
-    met = met.select(F.col("hub.uid").alias("hub"), "uid", "rest", F.lit(True).alias("open"))
-    return (met.union(direct) if few else met).groupBy("hub", "uid").agg(F.max("rest").alias("rest"), F.max("open").alias("open"))
+    hubs = shared.select("key", "uid").join(mates, "uid").groupBy("key").agg(F.max(F.struct("mates", "uid")).alias("hub"))
+    return shared.join(hubs, "key").where("uid <> hub.uid").select("key", F.col("hub.uid").alias("hub"), "uid")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """hub, uid, near, the keys of smaller buckets (lead) for those not near, and for close ones the rest: what neither this hub nor those before it have; with the keys it gives."""
-    names = ["hub", "uid", "near", "rest", "keys", "lead"]
+    """hub, uid, near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (small for part in wb.slices(batch, "uid_text") for small in wb.slices(part, "hub_text")):
                 (a, a_bounds), (b, b_bounds) = shingles(part.column("hub_text")), shingles(part.column("uid_text"))
-                near, rests, keys, leads = [], [], [], []
-                for k, (hub, rest, goes_on) in enumerate(zip(part.column("hub").to_pylist(), part.column("rest"), part.column("open").to_pylist())):
-                    one, two = a[a_bounds[k] : a_bounds[k + 1]], b[b_bounds[k] : b_bounds[k + 1]]
-                    alike = aligned(one, two, least)
-                    near.append(alike >= least)
-                    if rest.is_valid:
-                        two = rest.values.to_numpy().view(np.uint64)
-                    left = np.setdiff1d(two, one, assume_unique=True) if goes_on and alike >= CLOSE else two[:0]
-                    context = np.frombuffer(hub[:8], np.uint64)
-                    made = [int(wb.mix(context + np.uint64(s) + ((left ^ _SEEDS[0, s]) * _SEEDS[1, s]).min()).view(np.int64)[0]) for s in range(SKETCHES)] if len(left) else []
-                    rests.append(left.view(np.int64))
-                    keys.append(made)
-                    first = _leading(b[b_bounds[k] : b_bounds[k + 1]], one, least) if goes_on and alike < least else two[:0]
-                    leads.append(wb.mix(wb.mix(context + np.uint64(SKETCHES)) + first).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("hub"), part.column("uid"), pa.array(near, pa.bool_()), *(pa.array(x, pa.list_(pa.int64())) for x in (rests, keys, leads))], names=names
-                )
+                near = [aligned(a[a_bounds[k] : a_bounds[k + 1]], b[b_bounds[k] : b_bounds[k + 1]], least) >= least for k in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("uid"), pa.array(near, pa.bool_())], names=["hub", "uid", "near"])
 
     hub_texts = texts.select(F.col("uid").alias("hub"), F.col("text").alias("hub_text"))
     full = pairs.join(hub_texts, "hub").join(texts.select("uid", F.col("text").alias("uid_text")), "uid")
-    return full.select("hub", "uid", "rest", "open", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean, rest array<bigint>, keys array<bigint>, lead array<bigint>")
+    return full.select("hub", "uid", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean")
+
+
+def _rareness(texts: DataFrame) -> np.ndarray:
+    """How often shingles of each slot occur, as powers of two; 0 where once at most. Its size is fixed (1 MB)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for part in wb.slices(batch):
+                labelled, _ = shingles(part.column("text"))
+                counts += np.bincount((labelled & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+        slots = np.flatnonzero(counts)
+        for at in range(0, len(slots), 1 << 16):
+            some = slots[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
+
+    found = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    table = found.select("slot", F.log2("n").cast("int").alias("rank")).toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    out[table.column("slot").to_numpy()] = np.maximum(1, table.column("rank").to_numpy())
+    return out
+
+
+def _hidden_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (hub, uid) of texts (uid, class, text) of different classes that may be ``least`` alike: a prefix-filtered self-join."""
+    ranks = _rareness(texts.select("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wb.slices(batch):
+                labelled, bounds = shingles(part.column("text"))
+                rank = ranks[(labelled & np.uint64(len(ranks) - 1)).astype(np.int64)]
+                keys, rows, places = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
+                for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    first = prefix(labelled[low:high], rank[low:high], least) if high > low else np.zeros(0, np.int64)
+                    shared = rank[low:high][first] > 0  # the others occur nowhere else
+                    keys.append(labelled[low:high][first][shared])
+                    places.append(np.flatnonzero(shared))
+                    rows.append(int(shared.sum()))
+                row = np.repeat(np.arange(part.num_rows), rows)
+                size = np.diff(bounds)[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), part.column("uid").take(pa.array(row)), part.column("class").take(pa.array(row)), pa.array(size), pa.array(np.concatenate(places))],
+                    names=["key", "uid", "class", "size", "place"],
+                )
+
+    rows = settle(texts.mapInArrow(run, "key bigint, uid binary, class binary, size bigint, place bigint"), "prefixes")
+    busy = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    one = rows.join(busy, "key")
+    two = one.toDF("key", "other", "other_class", "other_size", "other_place")
+    # The first shingle that two texts share leaves at most what follows it in either for the rest.
+    needed = F.ceil((F.col("size") + F.col("other_size")) * least / (1 + least) - 1e-9)
+    room = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    met = one.join(two, "key").where((F.col("uid") < F.col("other")) & (F.col("class") != F.col("other_class")) & (room >= needed))
+    return met.select(F.col("other").alias("hub"), "uid").distinct()
 
 
 def linked_texts(slim: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Links (a, b) between ids of near-equal texts, enough to join every class; slim: text, uid."""
-    rows = settle(_bucket_rows(slim).select("key", "uid", F.lit(False).alias("settled"), F.lit(None).cast("array<bigint>").alias("rest")), "sketches")
-    pairs = settle(_stars(rows), "pairs")
-    sieve = Sieve(pairs.select(F.explode(F.array(F.xxhash64("hub"), F.xxhash64("uid"))).alias("h")), "h")
-    met = slim.select("uid", "text").where(F.col("text").isNotNull() & sieve.column(F.xxhash64("uid")))
-    texts = settle(met.groupBy("uid").agg(F.min("text").alias("text")), "texts")
-    done: list[DataFrame] = []
-    while not pairs.isEmpty():
-        result = settle(_compared(pairs, texts, least), "compared")
-        done.append(result)
-        # A hub's only member with keys has nobody to meet in that hub's buckets.
-        close = result.where("size(keys) > 0 OR size(lead) > 0").groupBy("hub").agg(F.count("*").alias("n"), F.min("near").alias("all_near"))
-        again = result.join(close.where("n > 1 AND NOT all_near").select("hub"), "hub")
-        # The settled members stay in: one that has not reached the hub may still be near one that has.
-        by_rest = again.select(F.explode("keys").alias("key"), "uid", F.col("near").alias("settled"), "rest")
-        by_lead = again.select(F.explode("lead").alias("key"), "uid", F.lit(False).alias("settled"), F.lit(None).cast("array<bigint>").alias("rest"))
-        pairs = settle(_stars(settle(by_rest.union(by_lead), "rows"), FEW), "stars")
-        known = reduce(DataFrame.union, [d.select(*names) for d in done for names in (("hub", "uid"), ("uid", "hub"))])
-        new = settle(pairs.join(known.toDF("hub", "uid").distinct(), ["hub", "uid"], "left_anti"), "new")
-        # A hub with somebody new takes its known members along: the new one may be near them.
-        hubs = new.where("open").select("hub").distinct()
-        old = pairs.where("open").join(hubs, "hub", "left_semi").join(new.select("hub", "uid"), ["hub", "uid"], "left_anti")
-        pairs = settle(new.unionByName(old), "pairs")
-    found = [d.where("near").select(F.col("hub").alias("a"), F.col("uid").alias("b")) for d in done]
-    return reduce(DataFrame.union, found) if found else pairs.select(F.col("hub").alias("a"), F.col("uid").alias("b"))
+    rows = settle(_bucket_rows(slim), "sketches")
+    met = settle(_stars(rows), "stars")
+    sieve = Sieve(met.select(F.explode(F.array(F.xxhash64("hub"), F.xxhash64("uid"))).alias("h")), "h")
+    some = slim.select("uid", "text").where(F.col("text").isNotNull() & sieve.column(F.xxhash64("uid")))
+    texts = settle(some.groupBy("uid").agg(F.min("text").alias("text")), "texts")
+    first = settle(_compared(met.select("hub", "uid").distinct(), texts, least), "compared")
+    links = first.where("near").select(F.col("hub").alias("a"), F.col("uid").alias("b"))
+    # Behind a hub: members of a bucket of which not all are near it. The hub itself has met them all.
+    judged = met.join(first, ["hub", "uid"])
+    hiding = judged.groupBy("key").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 AND NOT all_near").select("key")
+    behind = settle(judged.join(hiding, "key").select("uid").distinct(), "behind")
+    if behind.isEmpty():
+        return links
+    labels = components(links)
+    classed = behind.join(labels, behind["uid"] == labels["node"], "left").select("uid", F.coalesce("class", "uid").alias("class"))
+    dealt = settle(texts.join(classed, "uid"), "dealt")
+    pairs = settle(_hidden_pairs(dealt, least), "pairs")
+    second = _compared(pairs, dealt.select("uid", "text"), least).where("near")
+    return settle(links.union(second.select(F.col("hub").alias("a"), F.col("uid").alias("b"))), "links")
 
 
 def _classes(slim: DataFrame, least: float) -> DataFrame:
@@ -251,5 +267,5 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILAR, doc_id: str =
     # The id's hash is part of the key, so copies of one text are spread over tasks.
     met = rows.where("_uid IS NOT NULL").join(keep, (F.col("_uid") == F.col("keep_uid")) & (F.col("_h") == F.col("keep_h")) & F.col("_id").eqNullSafe(F.col("keep_id")))
     single = met.where("n = 1").select("_row.*")
-    several = met.where("n > 1").groupBy("_uid", "_h").agg(F.first("_row").alias("_row")).select("_row.*")
+    several = met.where("n > 1").groupBy("_uid", "_h").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return single.unionByName(several).unionByName(docs.where(F.col(text).isNull()))
