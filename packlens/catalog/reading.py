@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packlens.catalog.oracle_views import TIERED, with_views
+from packlens.catalog.compliance import _MISSED_SQL, _WARN_SQL
+from packlens.catalog.oracle_views import LABEL_TEXT, TIERED, with_views
 from packlens.catalog.registry import Registry
 from packlens.functions import fields as ff
 from packlens.functions.dates import parse_label_date
@@ -373,3 +374,69 @@ def _merged(spark, d):
     return merge_scan(frames)
 
 
+
+
+# --- merged scans of labels ------------------------------------------------------------------------
+# Three captures of each label; every line is on two of them. Words have boxes, captures barcodes, scans an upload.
+_CAPTURES = """SELECT scan_id, f, CAST((scan_id * 7 + f * 31) % 101 AS DOUBLE) AS conf, CASE WHEN (scan_id + f) % 4 = 1 THEN scan_id % 30 / 10.0 END AS size, lines,
+ string_agg(line, chr(10) ORDER BY no) AS text, count(line) AS n FROM (SELECT scan_id, lines, unnest([0, 1, 2]) AS f FROM (SELECT scan_id, string_split(ocr_text, chr(10)) AS lines FROM label_text))
+ LEFT JOIN (SELECT scan_id, unnest(lines) AS line, unnest(range(len(lines))) AS no FROM (SELECT scan_id, string_split(ocr_text, chr(10)) AS lines FROM label_text)) USING (scan_id)
+ WHERE (no + f) % 3 <> 0 GROUP BY ALL"""
+_CHOSEN = """SELECT b.scan_id, b.f AS best_index, b.conf AS ocr_confidence, COALESCE(m.f, b.f) AS measured_index, COALESCE(m.size, b.size) AS size, n_frames FROM
+ (SELECT *, count(*) OVER (PARTITION BY scan_id) AS n_frames FROM captures QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY conf DESC, length(text) DESC, f) = 1) b
+ LEFT JOIN (SELECT * FROM captures WHERE size IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY conf DESC, f DESC) = 1) m USING (scan_id)"""
+_UNION = """SELECT scan_id, f, ord, line FROM (SELECT scan_id, f, conf, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord FROM captures)
+ WHERE length(line) >= 2 QUALIFY row_number() OVER (PARTITION BY scan_id, lower(line) ORDER BY conf DESC, f, ord) = 1"""
+_UNION_TEXT = """SELECT c.scan_id, c.ocr_confidence, NULL::VARCHAR AS violation, COALESCE(string_agg(line, chr(10) ORDER BY p.conf DESC, u.f, ord), '') AS ocr_text
+ FROM chosen c LEFT JOIN union_lines u USING (scan_id) LEFT JOIN captures p ON p.scan_id = u.scan_id AND p.f = u.f GROUP BY c.scan_id, c.ocr_confidence"""
+# A label that only shows a month of expiry gets it as its first date from the visual row, where the best capture has that row.
+_SEEN = r"""SELECT p.* REPLACE (COALESCE(p.mfg, CASE WHEN regexp_matches(c.text, 'Exp: ') THEN p.exp END) AS mfg) FROM parsed_text p JOIN chosen b USING (scan_id) JOIN captures c ON c.scan_id = b.scan_id AND c.f = b.best_index"""
+_MERGED_DECL = f"""SELECT d.*, b.scan_id % 2 = 0 AS is_embossed, b.ocr_confidence, b.size AS min_numeral_height_mm, b.size AS min_letter_height_mm, 0.5::DOUBLE AS min_width_to_height_ratio, 40.0::DOUBLE AS panel_area_cm2
+ FROM ({_DECL_SQL}) d JOIN chosen b USING (scan_id)"""
+_MERGE_VIEWS = {
+    "whole_text": (LABEL_TEXT, ("declarations",)), "captures": (_CAPTURES.replace("FROM label_text", "FROM whole_text"), ("whole_text",)), "chosen": (_CHOSEN, ("captures",)),
+    "union_lines": (_UNION, ("captures",)), "label_text": (_UNION_TEXT, ("chosen", "union_lines")), "parsed_text": (_PARSED, ("label_text",)), "parsed": (_SEEN, ("parsed_text", "chosen")),
+    "read_decl": (_MERGED_DECL, ("parsed", "chosen")), "tiered": (TIERED.replace("FROM declarations", "FROM read_decl"), ("read_decl",)),
+}
+
+
+@R.add("merge_labels", with_views(f"""
+SELECT v.scan_id, v.verdict, warned || CASE WHEN warned <> '' THEN ' | ' ELSE '' END || 'Merged ' || n_frames || ' captures (best single-frame confidence ' || b.ocr_confidence || '%); text combined by confidence, evaluated once.' ||
+ CASE WHEN measured_index <> best_index THEN ' | Type size measured on angle ' || (measured_index + 1) || ' (it carries the mm scale); text led by angle ' || (best_index + 1) || '.' ELSE '' END AS warnings,
+ n_frames, (SELECT string_agg(f || ':' || CASE WHEN f = best_index THEN 'b' ELSE '' END || CASE WHEN f = measured_index THEN 'm' ELSE '' END || ':' || words || ':' || added, ' ' ORDER BY f) FROM
+   (SELECT c.f, len(string_split(replace(c.text, chr(10), ' '), ' ')) AS words, (SELECT count(*) FROM union_lines u WHERE u.scan_id = c.scan_id AND u.f = c.f) AS added FROM captures c WHERE c.scan_id = v.scan_id)) AS frames,
+ (SELECT string_agg(rule_id || '=' || status || ':' || cause, ' ' ORDER BY rule_order) FROM annotated a WHERE a.scan_id = v.scan_id) ||
+   CASE WHEN v.scan_id % 3 = 0 THEN ' LMPC-gtin-1=PASS: LMPC-gtin-2=PASS:' ELSE ' LMPC-gtin=PASS:' END AS results,
+ CASE WHEN v.scan_id % 5 = 0 THEN 'Given' ELSE COALESCE(d.generic_name, '') END AS product_name, COALESCE(substr(d.manufacturer_name, 1, 160), '') AS brand_name, CASE WHEN v.scan_id % 5 = 1 THEN 'food' ELSE '' END AS category,
+ CASE WHEN v.scan_id % 2000 / 10.0 - 100 BETWEEN -90 AND 90 THEN v.scan_id % 2000 / 10.0 - 100 END AS scan_lat, b.size AS font_height_mm, d.mrp, d.mfg_date, d.expiry_date
+FROM (SELECT *, {_WARN_SQL} AS warned FROM (SELECT *, {_MISSED_SQL} AS missed FROM verdicts)) v JOIN chosen b USING (scan_id) JOIN read_decl d USING (scan_id)""", "annotated", "verdicts", "chosen", "union_lines", "read_decl", replaced=_MERGE_VIEWS))
+def merge_labels(spark, d):
+    out = merge_scan(_label_captures(spark, d), uploads=_uploads(spark, d))
+    mark = lambda f: F.concat(F.when(f["is_best"], "b").otherwise(""), F.when(f["measured"], "m").otherwise(""))
+    said = lambda f: F.concat_ws(":", f["index"].cast("string"), mark(f), f["word_count"].cast("string"), f["words_added"].cast("string"))
+    return out.select(
+        "scan_id", "verdict", F.array_join("warnings", " | ").alias("warnings"), "n_frames", F.array_join(F.transform("frames", said), " ").alias("frames"),
+        F.array_join(F.transform("results", lambda f: F.concat(f["rule_id"], F.lit("="), f["status"], F.lit(":"), f["cause"])), " ").alias("results"),
+        "product_name", "brand_name", "category", "scan_lat", "font_height_mm", "mrp", F.col("mfg_date").cast("string").alias("mfg_date"), F.col("expiry_date").cast("string").alias("expiry_date"))
+
+
+def _label_captures(spark, d):
+    k, f = F.col("scan_id"), F.col("frame_index")
+    kept = F.filter(F.transform(F.split("ocr_text", "\n"), lambda line, no: F.struct(no.alias("no"), line.alias("line"))), lambda x: (x["no"] + f) % 3 != 0)
+    frames = star.label_text(spark, d).select("scan_id", "ocr_text", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("frame_index")).select("scan_id", "frame_index", kept.alias("ls"))
+    words = F.flatten(F.transform("ls", lambda x: F.transform(F.split(x["line"], " "), lambda w, i: F.struct(
+        (x["no"] * 1000 + i).cast("bigint").alias("ord"), w.alias("text"), (i * 120).alias("x"), (x["no"] * 40).alias("y"), (F.length(w) * 10).alias("w"), F.lit(20).alias("h"), F.lit(80.0).alias("confidence")))))
+    size = F.when((k + f) % 4 == 1, (k % 30) / 10)
+    code = lambda n: F.struct(F.lit("EAN13").alias("format"), F.concat(F.lit(" 890"), F.lpad(k.cast("string"), 9, "0"), F.lit(n)).alias("text"))
+    blank = F.struct(F.lit("EAN8").alias("format"), F.lit("  ").alias("text"))
+    return frames.where("size(ls) > 0").select(
+        "scan_id", "frame_index", ((k * 7 + f * 31) % 101).cast("double").alias("ocr_confidence"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"),
+        size.alias("font_mm"), size.alias("letter_mm"), F.lit(0.5).alias("ratio"), F.lit(True).alias("has_boxes"), words.alias("boxes"),
+        F.when(k % 3 == 0, F.array(code("1"), blank, code("2"), code("1"))).otherwise(F.array(code("1"), code("1"))).alias("barcodes"))
+
+
+def _uploads(spark, d):
+    k = F.col("o_orderkey")
+    return star.read(spark, d, "orders").select(
+        k.alias("scan_id"), F.when(k % 5 == 0, " Given ").otherwise(" ").alias("given_product"), F.when(k % 5 == 1, "food").alias("given_category"),
+        (k % 2000 / 10 - 100).alias("scan_lat"), F.lit(77.0).alias("scan_lon"), (k % 2 == 0).alias("is_embossed"), F.lit(40.0).alias("panel_area_cm2"))

@@ -20,25 +20,42 @@ def gtin_dedupe(codes: DataFrame) -> DataFrame:
     return clean.groupBy("scan_id", "format", "code").agg(F.min("pos").alias("first_pos"))
 
 
-def gtin_country(codes: DataFrame) -> DataFrame:
+def country_of(code: Column) -> Column:
     """Country of the GS1 prefix; a constant map of fixed size stands in for a broadcast join."""
     table = F.create_map(*[F.lit(x) for pair in fv.GS1_COUNTRIES.items() for x in pair])
-    prefix = F.substring(digits_of(F.col("code")), 1, 3)
-    return codes.withColumn("country", F.coalesce(F.try_element_at(table, prefix), F.lit("Unknown")))
+    return F.coalesce(F.try_element_at(table, F.substring(digits_of(code), 1, 3)), F.lit("Unknown"))
+
+
+def gtin_country(codes: DataFrame) -> DataFrame:
+    return codes.withColumn("country", country_of(F.col("code")))
+
+
+def _card(number: Column, count: Column, form: Column, code: Column, country: Column) -> dict[str, Column]:
+    """An info finding: the only code of a scan has a stable id, several are numbered from 1."""
+    return {
+        "rule_order": (number + 9).cast("int"),
+        "rule_id": F.when(count == 1, F.lit("LMPC-gtin")).otherwise(F.concat(F.lit("LMPC-gtin-"), number.cast("string"))),
+        "status": F.lit(fv.PASS),
+        "message": F.concat(F.lit("Barcode "), form, F.lit(" "), code, F.lit(" (GS1 prefix: "), country, F.lit(")")),
+        "field": F.lit("gtin"), "citation": F.lit("GS1 prefix (voluntary identity cross-check)"), "citation_verified": F.lit(False),
+        "observed": code, "expected": F.lit("consistent with declared origin"), "severity": F.lit("info"),
+        "remedy": F.lit(None).cast("string"), "source_ref": F.lit(""),
+    }
+
+
+def cards_of(codes: Column) -> Column:
+    """Info findings of one read's barcodes: array<struct<format, text>> to an array of findings, each distinct code once."""
+    clean = F.filter(F.transform(codes, lambda c: F.struct(c["format"].alias("format"), strip(c["text"]).alias("code"))), lambda c: c["code"] != "")
+    distinct = F.array_distinct(F.coalesce(clean, F.array().cast("array<struct<format:string,code:string>>")))
+    return F.transform(distinct, lambda c, i: F.struct(*[
+        v.alias(name) for name, v in _card(i + 1, F.size(distinct), c["format"], c["code"], country_of(c["code"])).items()]))
 
 
 def gtin_cards(codes: DataFrame) -> DataFrame:
     """Info findings for barcodes: one stable id for a single code, numbered ids otherwise."""
     numbered = number_rows(gtin_country(gtin_dedupe(codes)), ["scan_id"], "first_pos", ["format", "code"], total="codes")
-    rule = F.when(F.col("codes") == 1, "LMPC-gtin").otherwise(F.concat(F.lit("LMPC-gtin-"), F.col("n").cast("string")))
-    return numbered.select(
-        "scan_id", (F.col("n") + 9).cast("int").alias("rule_order"), rule.alias("rule_id"), F.lit(fv.PASS).alias("status"),
-        F.concat(F.lit("Barcode "), "format", F.lit(" "), "code", F.lit(" (GS1 prefix: "), "country", F.lit(")")).alias("message"),
-        F.lit("gtin").alias("field"), F.lit("GS1 prefix (voluntary identity cross-check)").alias("citation"),
-        F.lit(False).alias("citation_verified"), F.col("code").alias("observed"),
-        F.lit("consistent with declared origin").alias("expected"), F.lit("info").alias("severity"),
-        F.lit(None).cast("string").alias("remedy"), F.lit("").alias("source_ref"), F.col("n").alias("card_no"),
-    )
+    card = _card(F.col("n"), F.col("codes"), F.col("format"), F.col("code"), F.col("country"))
+    return numbered.select("scan_id", *[v.alias(name) for name, v in card.items()], F.col("n").alias("card_no"))
 
 
 def results_append(findings: DataFrame, cards: DataFrame) -> DataFrame:

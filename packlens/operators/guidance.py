@@ -5,12 +5,14 @@ The guide is a constant map from rule id to texts, so annotation is one narrow p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens import fixed_values as fv
 from packlens.functions.text import short_number
-from packlens.operators.rules import sql_text, weak_read
+from packlens.operators.rules import FINDING_FIELDS, sql_text, weak_read
 
 
 def _guide_map() -> Column:
@@ -33,14 +35,14 @@ def _fill(template: Column, **values: Column) -> Column:
     return template
 
 
-def annotate(findings: DataFrame) -> DataFrame:
-    """Add ``cause``, ``why`` and ``next_steps``; passing and unknown rules get empty guidance."""
-    g = F.col("__g")
-    conf, status, message = F.col("ocr_confidence"), F.col("status"), F.col("message")
+def guidance(finding: Callable[[str], Column], conf: Column) -> dict[str, Column]:
+    """``cause``, ``why`` and ``next_steps`` of a finding whose fields ``finding`` gives by name."""
+    status, message, remedy = finding("status"), finding("message"), finding("remedy")
+    g = F.try_element_at(_guide_map(), finding("rule_id"))
     shown = F.concat(short_number(conf), F.lit("%"))
     weak = weak_read(conf)
-    seen = F.coalesce(F.nullif(F.col("observed"), F.lit("")), F.lit("—"))
-    wanted = F.coalesce(F.nullif(F.col("expected"), F.lit("")), F.lit("—"))
+    seen = F.coalesce(F.nullif(finding("observed"), F.lit("")), F.lit("—"))
+    wanted = F.coalesce(F.nullif(finding("expected"), F.lit("")), F.lit("—"))
     close = F.array(F.lit(fv.VERIFY_STEP), F.lit(fv.REVIEW_STEP))
     retake = F.array(_fill(F.lit(fv.RETAKE_STEP.replace("{}", "{panel}")), panel=g["panel"]))
     search = F.array(_fill(F.lit(fv.SEARCH_STEP.replace("{}", "{word}")),
@@ -64,19 +66,26 @@ def annotate(findings: DataFrame) -> DataFrame:
             F.when(weak, _fill(F.lit(fv.WEAK_NOTE), conf=shown)).otherwise("")))
     )
     steps = (
-        F.when(open_, F.filter(F.array("remedy"), lambda r: r.isNotNull()))
+        F.when(open_, F.filter(F.array(remedy), lambda r: r.isNotNull()))
         .when(absent & conf.isNull(), F.concat(g["steps_typed"], close))
         .when(absent & weak, F.concat(retake, search, close))
         .when(absent, F.concat(retake, close))
         .when(failed, F.concat(F.when(weak, search).otherwise(F.array().cast("array<string>")), invalid, close))
     )
     known = g.isNotNull()
-    return (
-        findings.withColumn("__g", F.try_element_at(_guide_map(), F.col("rule_id")))
-        .withColumns({
-            "cause": F.coalesce(F.when(known, cause), F.lit("")),
-            "why": F.coalesce(F.when(known, why), F.lit("")),
-            "next_steps": F.coalesce(F.when(known, steps), F.array().cast("array<string>")),
-        })
-        .drop("__g")
-    )
+    return {
+        "cause": F.coalesce(F.when(known, cause), F.lit("")),
+        "why": F.coalesce(F.when(known, why), F.lit("")),
+        "next_steps": F.coalesce(F.when(known, steps), F.array().cast("array<string>")),
+    }
+
+
+def annotate(findings: DataFrame) -> DataFrame:
+    """Add ``cause``, ``why`` and ``next_steps``; passing and unknown rules get empty guidance."""
+    return findings.withColumns(guidance(F.col, F.col("ocr_confidence")))
+
+
+def annotated_array(results: Column, conf: Column) -> Column:
+    """The same for an array of findings inside a scan's row."""
+    return F.transform(results, lambda f: F.struct(
+        *[f[name].alias(name) for name in FINDING_FIELDS], *[v.alias(name) for name, v in guidance(lambda n: f[n], conf).items()]))

@@ -263,6 +263,12 @@ def findings(decl: DataFrame, *, rules: tuple[str, ...] = fv.RULE_IDS,
     return exploded.select("scan_id", "ocr_confidence", "f.*")
 
 
+def with_results(decl: DataFrame, *, source_ref: str = fv.RULE7_SOURCE) -> DataFrame:
+    """Declarations with their findings nested as ``results``, in rule order."""
+    structs = [finding_sql(i, r, source_ref) for i, r in enumerate(RULES)]
+    return with_tiers(decl).select(*decl.columns, F.expr(f"array({', '.join(structs)})").alias("results"))
+
+
 def statuses(decl: DataFrame, *keep: str) -> DataFrame:
     """Declaration rows reduced to one status column per rule (``s0`` … ``s9``)."""
     cols = [status_of(r).alias(f"s{i}") for i, r in enumerate(RULES)]

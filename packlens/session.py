@@ -43,6 +43,11 @@ def recorded() -> Iterator[list[str]]:
         _recorders.remove(paths)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
     """Remove scratch tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

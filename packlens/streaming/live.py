@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packlens.plans.evaluate import evaluate
-from packlens.session import scratch_path
+from packlens.session import delete_scratch, exists, recorded, scratch_path, settle
 
 TERMINAL = ("done", "failed")
 
@@ -25,20 +30,56 @@ def stream_findings(arriving: DataFrame, out: str, checkpoint: str):
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str):
-    """Scans per day. Every trigger writes the counts of its own rows, which ``daily_volume_table`` adds up.
+LATENESS, SPREAD = "2 days", 16
+
+
+def _count_open_days(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One day's rows of one share: a running total while the day is open; what comes after that is late and only passed on."""
+    day, share = key
+    ends = (datetime.combine(day, datetime.min.time(), UTC) + timedelta(days=1)).timestamp() * 1000
+    closed = ends <= state.getCurrentWatermarkMs()
+    if state.hasTimedOut:
+        if closed:
+            state.remove()
+        else:
+            state.setTimeoutDuration(1)
+        return
+    n = sum(map(len, batches))
+    if not closed:
+        n += state.get[0] if state.exists else 0
+        state.update((n,))
+        state.setTimeoutDuration(1)  # looked at again in the next trigger
+    yield pd.DataFrame({"day": [day], "share": [share], "n": [n], "late": [closed]})
 
-    Counts need no state and no watermark, so a row may come as late as it likes; a repeated trigger overwrites itself.
+
+def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str, *, lateness: str = LATENESS):
+    """Scans per UTC day (a tumbling window of a day in event time).
+
+    State is one total per open day and share of its rows; a day closes, and its state goes, once the watermark (newest
+    time seen less ``lateness``) has passed its end. Rows of closed days are not dropped: their counts go to a side table
+    (``out/late``), which ``daily_volume_table`` adds. A repeated trigger overwrites itself.
     """
 
-    def append(batch: DataFrame, version: int) -> None:
-        batch.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={version}")
+    def write(batch: DataFrame, version: int) -> None:
+        batch.persist()
+        batch.where("NOT late").drop("late").coalesce(1).write.mode("overwrite").parquet(f"{out}/windows/batch={version}")
+        batch.where("late").drop("late").coalesce(1).write.mode("overwrite").parquet(f"{out}/late/batch={version}")
+        batch.unpersist()
 
-    return arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # A day's rows are dealt over shares by the task that read them, so that a busy day is not one group.
+    seen = arriving.select("created_at").where("created_at IS NOT NULL").withWatermark("created_at", lateness)
+    dealt = seen.select("created_at", F.to_date("created_at").alias("day"), (F.spark_partition_id() % SPREAD).alias("share"))
+    counted = dealt.groupBy("day", "share").applyInPandasWithState(
+        _count_open_days, "day date, share int, n bigint, late boolean", "n bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_volume_table(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).groupBy("day").agg(F.sum("n").alias("n"))
+    """Counts per day. A share's total only grows, so its largest one is its last."""
+    schema = "day date, share int, n bigint"
+    open_ = spark.read.schema(schema).parquet(f"{out}/windows").groupBy("day", "share").agg(F.max("n").alias("n"))
+    late = spark.read.schema(schema).parquet(f"{out}/late")
+    return open_.select("day", "n").unionByName(late.select("day", "n")).groupBy("day").agg(F.sum("n").alias("n"))
 
 
 def job_state(transitions: DataFrame) -> DataFrame:
@@ -57,18 +98,34 @@ def job_status_latest(transitions: DataFrame) -> DataFrame:
     return _current(job_state(transitions))
 
 
-def stream_job_status(transitions: DataFrame, out: str, checkpoint: str):
-    """Per trigger, one small partial state per job is written; merging partial states is associative."""
+BUCKETS = 16
+
+
+def _merged(states: DataFrame) -> DataFrame:
+    return states.groupBy("job_id", "bucket").agg(F.min("terminal").alias("terminal"), F.max("latest").alias("latest"))
+
+
+def stream_job_status(transitions: DataFrame, out: str, checkpoint: str, *, buckets: int = BUCKETS):
+    """Job state as a table of hash buckets (``out``), each one file: a trigger reads, merges and replaces the buckets it touches.
+
+    Merging takes the first terminal and the latest step, so a trigger that is repeated after a failure changes nothing more.
+    """
 
-    def upsert(batch: DataFrame, version: int) -> None:
-        job_state(batch).write.mode("overwrite").parquet(f"{out}/batch={version}")
+    def upsert(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        with recorded() as paths:
+            new = settle(job_state(batch).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")), "states")
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+            old = spark.read.schema(new.schema).parquet(out).where(F.col("bucket").isin(touched)) if exists(spark, out) else new.limit(0)
+            merged = settle(_merged(old.unionByName(new)), "merged")
+            merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+        delete_scratch(spark, paths)
 
     return transitions.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_status_table(spark: SparkSession, out: str) -> DataFrame:
-    merged = spark.read.parquet(out).groupBy("job_id").agg(F.min("terminal").alias("terminal"), F.max("latest").alias("latest"))
-    return _current(merged)
+    return _current(spark.read.parquet(out))
 
 
 def arriving(df: DataFrame, name: str, *, rows: int = 20_000, triggers: int = 4) -> DataFrame:
