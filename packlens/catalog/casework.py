@@ -8,7 +8,6 @@ from packlens import fixed_values as fv
 from packlens.catalog.oracle_views import quote, sql_in, sql_list, with_views
 from packlens.catalog.registry import Registry
 from packlens.operators import history, report, review, rules
-from packlens.operators.guidance import annotate
 from packlens.sources import star
 
 R = Registry()
@@ -18,16 +17,16 @@ def _ts(col):
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
 
 
-def _annotated(spark, d):
-    return annotate(rules.findings(star.declarations(spark, d)))
-
-
 def _overlays(spark, d):
     return review.attest_merge(rules.findings(star.declarations(spark, d)), star.actions(spark, d))
 
 
 def _effective(spark, d):
-    return review.finding_overlay(_annotated(spark, d), _overlays(spark, d))
+    return review.effective_findings(star.declarations(spark, d), star.actions(spark, d))
+
+
+def _effective_statuses(spark, d):
+    return review.effective_statuses(star.declarations(spark, d), star.actions(spark, d))
 
 
 # --- filters and projections ---------------------------------------------------------------------
@@ -126,7 +125,7 @@ def verdict_counts(spark, d):
     "SELECT rule_id, count(*) AS n FROM overlaid WHERE status IN ('FAIL', 'NOT_FOUND') AND severity <> 'info' "
     "GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 8", "overlaid"))
 def top_failed_rules(spark, d):
-    return history.top_failed_rules(_effective(spark, d))
+    return history.top_failed_of_scans(_effective_statuses(spark, d))
 
 
 _NEWEST = "SELECT * FROM verdicts ORDER BY created_at DESC, scan_id LIMIT 500"
@@ -137,8 +136,7 @@ _NEWEST = "SELECT * FROM verdicts ORDER BY created_at DESC, scan_id LIMIT 500"
     "AND severity <> 'info' GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 8", "overlaid", "verdicts"))
 def top_failed_rules_newest(spark, d):
     newest = history.recent_scans(star.declarations(spark, d), limit=500)
-    marks = review.attest_merge(rules.findings(newest), star.actions(spark, d))
-    return history.top_failed_rules(review.finding_overlay(annotate(rules.findings(newest)), marks))
+    return history.top_failed_of_scans(review.effective_statuses(newest, star.actions(spark, d)))
 
 
 @R.add("verdict_counts_newest", with_views(f"SELECT verdict, count(*) AS n FROM ({_NEWEST}) GROUP BY verdict", "verdicts"))
@@ -192,7 +190,7 @@ def history_page(spark, d):
     "SELECT scan_id, count(*) FILTER (status IN ('FAIL', 'NOT_FOUND')) AS flagged, count(*) FILTER (status = 'PASS') AS passed, "
     "count(*) FILTER (status = 'NOT_ASSESSABLE') AS unassessed, count(*) AS total FROM overlaid GROUP BY scan_id", "overlaid"))
 def report_counts(spark, d):
-    return history.report_counts(_effective(spark, d))
+    return history.report_counts_of_scans(_effective_statuses(spark, d))
 
 
 @R.add("final_split", with_views(
@@ -285,9 +283,9 @@ _SOURCE_SQL = " || ".join(
       FROM findings f LEFT JOIN overlays o ON f.scan_id = o.scan_id AND f.rule_id = o.rule_id GROUP BY f.scan_id) v ON d.scan_id = v.scan_id""",
     "findings", "overlays", replaced=_patched_views()))
 def field_correction(spark, d):
-    base = star.field_sources(star.declarations(spark, d))
+    base = review.with_marks(star.field_sources(star.declarations(spark, d)), star.actions(spark, d))
     fixed = review.field_correction(base, _patches(spark, d))
-    out = review.corrected_scans(fixed, _overlays(spark, d))
+    out = review.corrected_scans(fixed)
     order = F.array(*[F.lit(f) for f in (*fv.TRACKED_FIELDS, "mrp_includes_taxes")])
     named = F.filter(F.transform(order, lambda f: F.concat(
         F.lit(";"), f, F.lit("="), F.try_element_at("field_sources", f))), lambda x: x.isNotNull())

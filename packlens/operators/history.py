@@ -106,6 +106,22 @@ def top_failed_rules(effective: DataFrame, *, limit: int = 8) -> DataFrame:
         F.desc("n"), "rule_id").limit(limit)
 
 
+def top_failed_of_scans(rows: DataFrame, *, limit: int = 8) -> DataFrame:
+    """The same from status columns per scan (``effective_statuses``): ten counters, one row per task. A passed rule that was disputed stays information."""
+    counters = [F.count_if(F.col(f"s{i}").isin(fv.FAIL, fv.NOT_FOUND) & (F.col(f"m{i}") != fv.PASS)).alias(f"n{i}") for i in range(len(fv.RULE_IDS))]
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col(f"n{i}").alias("n")) for i, r in enumerate(fv.RULE_IDS)])
+    return rows.agg(*counters).select(F.inline(pairs)).where("n > 0").orderBy(F.desc("n"), "rule_id").limit(limit)
+
+
+def report_counts_of_scans(rows: DataFrame) -> DataFrame:
+    """Counts per scan from its status columns, without leaving the row."""
+    every = F.array(*[F.col(f"s{i}") for i in range(len(fv.RULE_IDS))])
+    count = lambda *wanted: F.size(F.filter(every, lambda s: s.isin(*wanted))).cast("bigint")
+    return rows.select(
+        "scan_id", count(fv.FAIL, fv.NOT_FOUND).alias("flagged"), count(fv.PASS).alias("passed"), count(fv.NOT_ASSESSABLE).alias("unassessed"),
+        F.lit(len(fv.RULE_IDS)).cast("bigint").alias("total"))
+
+
 def daily_volume(scans: DataFrame, *, days: int = 14) -> DataFrame:
     """Scans per day over the last days that have any."""
     return scans.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packlens import fixed_values as fv
 from packlens.functions.text import strip
 from packlens.operators import rules
+from packlens.operators.guidance import annotated_array
 
 
 def latest_action(actions: DataFrame, *keys: str) -> DataFrame:
@@ -64,6 +65,61 @@ def finding_overlay(findings: DataFrame, overlays: DataFrame) -> DataFrame:
     }).drop("o_status", "has_observed", "o_observed", "hit")
 
 
+def rule_actions(actions: DataFrame) -> DataFrame:
+    """One row per scan: ``acts``, a map from rule to the last action on it. One aggregate with a map-side step; at most seven entries."""
+    edits = editable_findings(actions.where(F.col("action").isin("attest", "dispute", "withdraw"))).where("accepted")
+    step = F.struct("at", "event_id", "action", "observed", "by")
+    per = edits.groupBy("scan_id").agg(*[F.max(F.when(F.col("rule_id") == r, step)).alias(f"__r{i}") for i, r in enumerate(fv.RULE6_IDS)])
+    entries = [F.when(F.col(f"__r{i}").isNotNull(), F.struct(F.lit(r).alias("key"), F.struct(
+        F.col(f"__r{i}.action").alias("action"), F.col(f"__r{i}.observed").alias("observed")).alias("value"))) for i, r in enumerate(fv.RULE6_IDS)]
+    return per.select("scan_id", F.map_from_entries(F.array_compact(F.array(*entries))).alias("acts"))
+
+
+def _overlay_status(act: Column, machine: Column) -> Column:
+    """Status an action puts over a machine status, null where the machine's stays: an attestation passes, anything else fails a pass."""
+    return F.when(act["action"] == "attest", fv.PASS).when(act.isNotNull() & (machine == fv.PASS), fv.FAIL)
+
+
+def effective_statuses(decl: DataFrame, actions: DataFrame, *keep: str) -> DataFrame:
+    """Status columns ``s0`` ... ``s9`` after all actions, and ``m0`` ... ``m9`` as the rules gave them: one pass, one join per scan."""
+    rows = rules.statuses(decl, *keep).join(rule_actions(actions), "scan_id", "left")
+    machine = {f"m{i}": F.col(f"s{i}") for i in range(len(fv.RULE_IDS))}
+    effective = {f"s{i}": F.coalesce(_overlay_status(F.try_element_at("acts", F.lit(r)), F.col(f"m{i}")), F.col(f"m{i}")) for i, r in enumerate(fv.RULE_IDS)}
+    return rows.withColumns(machine).withColumns(effective).drop("acts")
+
+
+def effective_findings(decl: DataFrame, actions: DataFrame) -> DataFrame:
+    """Annotated findings after all actions: folded inside each scan's row, exploded once at the end."""
+    rows = rules.with_results(decl).select("scan_id", "ocr_confidence", "results")
+    rows = rows.withColumn("results", annotated_array(F.col("results"), F.col("ocr_confidence"))).join(rule_actions(actions), "scan_id", "left")
+    steps = F.array(*[F.lit(s) for s in fv.DISPUTED_STEPS])
+
+    def folded(f: Column) -> Column:
+        act = F.try_element_at("acts", f["rule_id"])
+        status = _overlay_status(act, f["status"])
+        passed, failed = F.coalesce(status == fv.PASS, F.lit(False)), F.coalesce(status == fv.FAIL, F.lit(False))
+        new = {
+            "status": F.coalesce(status, f["status"]),
+            "observed": F.when(passed, F.coalesce(act["observed"], f["observed"])).otherwise(f["observed"]),
+            "message": F.when(passed | failed, strip(F.concat(f["message"], F.lit(fv.OFFICER_SUFFIX)))).otherwise(f["message"]),
+            "cause": F.when(passed, "attested").when(failed, "disputed").otherwise(f["cause"]),
+            "why": F.when(passed, "").when(failed, fv.DISPUTED_WHY).otherwise(f["why"]),
+            "next_steps": F.when(passed, F.array().cast("array<string>")).when(failed, steps).otherwise(f["next_steps"]),
+            "manual": passed | failed,
+        }
+        return F.struct(*[new.pop(name, f[name]).alias(name) for name in (*rules.FINDING_FIELDS, "cause", "why", "next_steps", "manual")])
+
+    return rows.select("scan_id", "ocr_confidence", F.inline(F.transform("results", folded)))
+
+
+def with_marks(decl: DataFrame, actions: DataFrame) -> DataFrame:
+    """Declarations with ``marks``: a map from rule to the status that officers put over it."""
+    rows = rules.statuses(decl, *[c for c in decl.columns if c not in ("scan_id", "ocr_confidence")]).join(rule_actions(actions), "scan_id", "left")
+    over = [(r, _overlay_status(F.try_element_at("acts", F.lit(r)), F.col(f"s{i}"))) for i, r in enumerate(fv.RULE_IDS)]
+    entries = [F.when(status.isNotNull(), F.struct(F.lit(r).alias("key"), status.alias("value"))) for r, status in over]
+    return rows.select(*decl.columns, F.map_from_entries(F.array_compact(F.array(*entries))).alias("marks"))
+
+
 def field_correction(decl: DataFrame, patches: DataFrame) -> DataFrame:
     """Patch the sent editable fields of a declaration; an explicit null counts as sent.
 
@@ -83,16 +139,16 @@ def field_correction(decl: DataFrame, patches: DataFrame) -> DataFrame:
         *decl.columns, (F.size("sent") > 0).alias("corrected"))
 
 
-def corrected_scans(corrected: DataFrame, overlays: DataFrame) -> DataFrame:
-    """Verdict and product identity after a correction: rules again, overlays applied, statuses folded."""
-    marks = overlays.select("scan_id", "rule_id", F.col("status").alias("o_status"))
-    found = rules.findings(corrected).select("scan_id", "rule_id", "status")
-    folded = rules.verdict_refold(
-        found.join(marks, ["scan_id", "rule_id"], "left").withColumn("status", F.coalesce("o_status", "status")))
-    return corrected.join(folded, "scan_id").withColumns({
+def corrected_scans(corrected: DataFrame) -> DataFrame:
+    """Verdict and product identity after a correction: rules again, marks of ``with_marks`` applied, statuses folded, all inside the row."""
+    keep = [c for c in corrected.columns if c not in ("scan_id", "ocr_confidence")]
+    rows = rules.statuses(corrected, *keep)
+    every = F.array(*[F.coalesce(F.try_element_at("marks", F.lit(r)), F.col(f"s{i}")) for i, r in enumerate(fv.RULE_IDS)])
+    return rows.withColumns({
+        "verdict": rules.refold(every),
         "product_name": F.substring(F.col("generic_name"), 1, 160),
         "brand_name": F.substring(F.col("manufacturer_name"), 1, 160),
-    })
+    }).drop("marks", *[f"s{i}" for i in range(len(fv.RULE_IDS))])
 
 
 def review_gate(reviews: DataFrame, scans: DataFrame) -> DataFrame:

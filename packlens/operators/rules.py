@@ -350,6 +350,15 @@ def verdict_fold(findings_df: DataFrame) -> DataFrame:
              .otherwise(fv.COMPLIANT).alias("verdict"))
 
 
+def refold(statuses_: Column) -> Column:
+    """Verdict of an array of statuses alone."""
+    return (
+        F.when(F.exists(statuses_, lambda s: s.isin(fv.FAIL, fv.NOT_FOUND)), fv.NON_COMPLIANT)
+        .when(F.array_contains(statuses_, fv.NOT_ASSESSABLE), fv.INCOMPLETE)
+        .otherwise(fv.COMPLIANT)
+    )
+
+
 def verdict_refold(findings_df: DataFrame) -> DataFrame:
     """Verdict per scan from statuses alone (used after officer overlays)."""
     return findings_df.groupBy("scan_id").agg(

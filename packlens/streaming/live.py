@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,34 +32,33 @@ def stream_findings(arriving: DataFrame, out: str, checkpoint: str):
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-LATENESS, SPREAD = "2 days", 16
+LATENESS, SLOTS, SPREAD = "2 days", 8, 16
 
 
 def _count_open_days(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One day's rows of one share: a running total while the day is open; what comes after that is late and only passed on."""
-    day, share = key
-    ends = (datetime.combine(day, datetime.min.time(), UTC) + timedelta(days=1)).timestamp() * 1000
-    closed = ends <= state.getCurrentWatermarkMs()
-    if state.hasTimedOut:
-        if closed:
-            state.remove()
-        else:
-            state.setTimeoutDuration(1)
-        return
-    n = sum(map(len, batches))
-    if not closed:
-        n += state.get[0] if state.exists else 0
-        state.update((n,))
-        state.setTimeoutDuration(1)  # looked at again in the next trigger
-    yield pd.DataFrame({"day": [day], "share": [share], "n": [n], "late": [closed]})
+    """Rows of the days of one slot, for one share of them: running totals while a day is open; what comes later is only passed on."""
+    watermark = state.getCurrentWatermarkMs()
+    is_open = lambda day: (datetime.combine(day, datetime.min.time(), UTC) + timedelta(days=1)).timestamp() * 1000 > watermark
+    new = Counter()
+    for batch in batches:
+        new.update(batch["day"])
+    held = {day: n for text, n in json.loads(state.get[0]).items() if is_open(day := date.fromisoformat(text))} if state.exists else {}
+    rows = []
+    for day, n in new.items():
+        if is_open(day):
+            held[day] = n = held.get(day, 0) + n
+        rows.append((day, key[1], n, not is_open(day)))
+    state.update((json.dumps({day.isoformat(): n for day, n in held.items()}),))
+    yield pd.DataFrame(rows, columns=["day", "share", "n", "late"])
 
 
 def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str, *, lateness: str = LATENESS):
     """Scans per UTC day (a tumbling window of a day in event time).
 
-    State is one total per open day and share of its rows; a day closes, and its state goes, once the watermark (newest
-    time seen less ``lateness``) has passed its end. Rows of closed days are not dropped: their counts go to a side table
-    (``out/late``), which ``daily_volume_table`` adds. A repeated trigger overwrites itself.
+    A day closes once the watermark (newest time seen less ``lateness``) has passed its end. State is the totals of open days; days
+    share ``SLOTS`` slots in turn, and a slot forgets its closed days when it is next used, so there are never more than ``SLOTS * SPREAD`` state rows. Rows
+    of closed days are not dropped: their counts go to a side table (``out/late``), which ``daily_volume_table`` adds. A
+    repeated trigger overwrites itself.
     """
 
     def write(batch: DataFrame, version: int) -> None:
@@ -68,9 +69,10 @@ def stream_daily_volume(arriving: DataFrame, out: str, checkpoint: str, *, laten
 
     # A day's rows are dealt over shares by the task that read them, so that a busy day is not one group.
     seen = arriving.select("created_at").where("created_at IS NOT NULL").withWatermark("created_at", lateness)
-    dealt = seen.select("created_at", F.to_date("created_at").alias("day"), (F.spark_partition_id() % SPREAD).alias("share"))
-    counted = dealt.groupBy("day", "share").applyInPandasWithState(
-        _count_open_days, "day date, share int, n bigint, late boolean", "n bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    day = F.to_date("created_at")
+    dealt = seen.select("created_at", day.alias("day"), F.pmod(F.unix_date(day), F.lit(SLOTS)).alias("slot"), (F.spark_partition_id() % SPREAD).alias("share"))
+    counted = dealt.groupBy("slot", "share").applyInPandasWithState(
+        _count_open_days, "day date, share int, n bigint, late boolean", "open string", "update", GroupStateTimeout.NoTimeout)
     return counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
