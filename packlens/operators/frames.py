@@ -85,7 +85,7 @@ def gallery(scans: DataFrame, frames: DataFrame) -> DataFrame:
 
 def box_cap(words: DataFrame, *, k: int = 500) -> DataFrame:
     """First ``k`` words per scan in reading order; each task keeps at most ``k`` per scan before the shuffle."""
-    return first_k(words, ["scan_id"], [F.col("ord")], k, salt_on=["ord"])
+    return first_k(words, ["scan_id"], [F.col("ord")], k)
 
 
 def line_rebuild(words: DataFrame) -> DataFrame:
