@@ -324,8 +324,9 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: i
     gone = full.join(first.withColumn("stays", F.lit(True)).drop("class", "short"), (full["doc_id"].eqNullSafe(first["doc_id"])) & (full["text_key"] == first["text_key"]) & (full["number"] == first["number"]), "left")
     gone = gone.where("stays IS NULL").groupBy(full["doc_id"].alias("_gone_id"), full["text_key"].alias("_gone_key")).agg(F.collect_list(full["number"]).alias("_gone"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_key"))
-    met = rows.join(gone, rows["_id"].eqNullSafe(gone["_gone_id"]) & (rows["_key"] == gone["_gone_key"]), "left").select("_row.*", "_gone")
     names = docs.columns
+    free = "_gone" + "_" * max(map(len, names))  # longer than any name of the documents
+    met = rows.join(gone, rows["_id"].eqNullSafe(gone["_gone_id"]) & (rows["_key"] == gone["_gone_key"]), "left").select("_row.*", F.col("_gone").alias(free))
     place, count = names.index(text), names.index(n_chars) if n_chars else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +334,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: i
             for part in wb.slices(batch, text):
                 columns = part.columns[:-1]
                 whole, stays = part.column(text).to_pylist(), np.ones(part.num_rows, bool)
-                for k, lost in enumerate(part.column("_gone").to_pylist()):
+                for k, lost in enumerate(part.columns[-1].to_pylist()):
                     if lost:
                         lost = set(lost)
                         whole[k] = "\n".join([x for i, x in enumerate(whole[k].split("\n")) if i not in lost])

@@ -19,7 +19,7 @@ TEXTS = [
     (8, "The weather of today is nice and the sun shines over the old town hall.\nSecond line of some words here."),
     (None, "a b"), (9, "a"), (10, "Line line line line line one\nLine line line line line one\nother words"), (2, None),
 ]
-CLASH = "size shard slot row uid key line hub number class text_key n_words lang_pred score node a b n word window_id"
+CLASH = "size shard slot row uid key line hub number class text_key n_words lang_pred score node a b n word window_id _gone _row _id"
 
 
 @pytest.fixture(scope="module")
@@ -307,8 +307,9 @@ def test_quality_held_out(spark):
     from packlens.llm import quality as q
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    models = q.train(docs, labels, bound=3000)
-    scored = q.score(docs, models).join(labels, "doc_id")
+    held = labels.where("doc_id % 5 = 0")  # not trained on
+    models = q.train(docs, labels.where("doc_id % 5 <> 0"), bound=3000)
+    scored = q.score(docs, models).join(held, "doc_id")
     r = scored.selectExpr("avg(if(toxic = 1, int(p_toxic >= 0.5), null)) caught", "avg(if(toxic = 0, int(p_toxic < 0.5), null)) clean", "avg(int((p_quality >= 0.5) = (quality = 1))) quality").first()
     assert r["caught"] > 0.85 and r["clean"] > 0.99 and r["quality"] > 0.97
 

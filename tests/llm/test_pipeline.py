@@ -1,7 +1,9 @@
 """The pipeline against brute force, each stage on its own input."""
 
 import itertools
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 SF = "/root/testdata/sf0.001"
@@ -9,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark, tmp_path):
     import corpus_pipeline
+    from packlens.llm import line_dedup as ld
     from packlens.llm import order_minhash as om
     from test_operators import _hits
 
@@ -24,15 +27,38 @@ def test_stages(spark, tmp_path):
     start, identified, lined, single, clean = seen
     assert set(start) == set(identified)  # every text here has a language
 
-    first, gone = set(), set()
+    # Lines of twenty characters or more within two edits of an earlier one go; brute force over distinct lines of near lengths.
+    where = {}
+    for key in sorted(identified):
+        for n, line in enumerate(identified[key]["text"].split("\n")):
+            where.setdefault(line, (key, n))
+    long = [x for x in where if len(x) >= ld.SHORTEST]
+    codes = {x: np.array([ord(c) for c in x], np.int64) for x in long}
+    parent = {x: x for x in long}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_size = defaultdict(list)
+    for x in long:
+        by_size[len(x)].append(x)
+    for size, own in by_size.items():
+        for a in own:
+            for b in itertools.chain(own, by_size.get(size + 1, ()), by_size.get(size + 2, ())):
+                if (size < len(b) or a < b) and sum((Counter(a) - Counter(b)).values()) <= 2 and ld._plain_distance(codes[a], codes[b]) <= 2:
+                    low, high = sorted((root(a), root(b)))
+                    parent[high] = low
+    seen_classes, gone = set(), set()
     for key in sorted(identified):
         lines = identified[key]["text"].split("\n")
-        kept = [x for x in lines if len(x.encode()) < 20 or not (x in first or first.add(x))]
+        kept = [x for x in lines if len(x) < ld.SHORTEST or not (root(x) in seen_classes or seen_classes.add(root(x)))]
         if key not in lined:
             gone.add(key)
             assert not "\n".join(kept).strip()
         else:
-            assert lined[key]["text"] in ("\n".join(kept), lined[key]["text"]) and len(lined[key]["text"]) <= len("\n".join(kept))
+            assert lined[key]["text"] == "\n".join(kept)
             assert lined[key]["n_chars"] == len(lined[key]["text"])
 
     ids = sorted(lined)
