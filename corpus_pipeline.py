@@ -19,11 +19,17 @@ from packlens.session import delete_scratch, recorded, scratch_path
 
 ORACLE_SQL = None  # language models, edit joins and packing have no SQL form; tests/llm compare with brute force
 
+#: Rows that tasks hand to Python at a time. Batches are counted in rows and documents may be long: the default of 10,000 is tens of megabytes at each end.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _leftover: list[str] = []
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
         delete_scratch(spark, _leftover)
         _leftover.clear()
         with recorded() as paths:
