@@ -182,21 +182,24 @@ def _misread_sql(name):
 def _match_sql(queries, cutoff):
     """Common table expressions ending in ``hits(query, name, score)``: partial ratio by its definition, every window of every pair of distinct strings.
 
-    Pairs whose longest common subsequence over whole strings is too short for any window are left out first.
+    A string that contains another scores 100, the most there is. Pairs whose longest common subsequence over whole strings is too short for
+    any window are left out first.
     """
     step = "lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::BIGINT << n) - 1)"
     lcs = lambda masks: f"(n - bit_count(list_reduce({masks}, {step}, (1::BIGINT << n) - 1)))"
     return f"""names AS ({_NAMES_SQL}),
 asked AS (SELECT DISTINCT query FROM ({queries}) WHERE length(query) >= 5),
-pairs AS (SELECT query, name, position, name AS needle, query AS hay FROM asked, names WHERE length(name) <= length(query)
+every AS (SELECT query, name, position, name AS needle, query AS hay FROM asked, names WHERE length(name) <= length(query)
   UNION ALL SELECT query, name, position, query, name FROM asked, names WHERE length(query) <= length(name)),
+whole AS (SELECT query, name, position, 100.0::DOUBLE AS raw FROM every WHERE contains(hay, needle)),
+pairs AS (SELECT * FROM every WHERE query NOT IN (SELECT query FROM whole)),
 letters AS (SELECT needle, string_split(needle, '') AS cs FROM (SELECT DISTINCT needle FROM pairs)),
 bits AS (SELECT needle, map_from_entries(list((c, b))) AS mk FROM (
   SELECT needle, c, sum(1::BIGINT << (i - 1))::BIGINT AS b FROM (SELECT needle, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM letters) GROUP BY needle, c) GROUP BY needle),
 masked AS (SELECT query, name, position, length(needle) AS n, list_transform(string_split(hay, ''), lambda c: coalesce(mk[c], 0::BIGINT)) AS ms FROM pairs JOIN bits USING (needle)),
 near AS (SELECT * FROM masked WHERE {lcs("ms")} >= {cutoff / 100} * n / {2 - cutoff / 100} - 1e-9),
 cuts AS (SELECT query, name, position, n, unnest(list_transform(range(1 - n, len(ms)), lambda a: ms[greatest(a, 0) + 1:least(a + n, len(ms))])) AS w FROM near),
-scored AS (SELECT query, name, position, max(200.0 * {lcs("w")} / (n + len(w))) AS raw FROM cuts GROUP BY query, name, position),
+scored AS (SELECT query, name, position, max(200.0 * {lcs("w")} / (n + len(w))) AS raw FROM cuts GROUP BY query, name, position UNION ALL SELECT * FROM whole),
 hits AS (SELECT query, arg_max(name, {{'r': raw, 'p': -position}}) AS name, round_even(max(raw) * 10, 0) / 10 AS score FROM scored WHERE raw >= {cutoff} GROUP BY query)"""
 
 
@@ -275,6 +278,24 @@ def gazetteer_files(spark, d):
     return gazetteer.canonical_names(*corpus.gazetteer_lists(spark, names, brands, multi_line=False)).select("name")
 
 
+# --- places of patterns, as SQL -------------------------------------------------------------------
+def _places_sql(pattern, more=""):
+    """Matches of a pattern in every label with their places, from the gaps between them."""
+    sizes = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, no, ms[no] AS m{more}, ({sizes("gs[1:no]")} + {sizes("ms[1:no - 1]")})::BIGINT AS s FROM (
+ SELECT *, unnest(range(1, len(ms) + 1)) AS no FROM (SELECT scan_id AS doc_id, regexp_extract_all(ocr_text, {quote(pattern)}) AS ms, string_split_regex(ocr_text, {quote(pattern)}) AS gs FROM label_text))"""
+
+
+_TOKENS_SQL = "SELECT doc_id, no - 1 AS tok, m AS token, s, s + length(m) AS e FROM (" + _places_sql(r"\S+") + ")"
+_ENTITIES_SQL = "SELECT doc_id, rank, no, label, s, s + length(m) AS e FROM (" + " UNION ALL ".join(
+    _places_sql(f"(?{flags})" + pattern, f", {rank} AS rank, {quote(label)} AS label") for rank, (label, pattern, flags) in enumerate(fv.ENTITY_PATTERNS)) + ") WHERE length(m) > 0"
+_BIO_SQL = """SELECT t.doc_id, t.tok, t.token, coalesce(CASE WHEN t.tok = o.opens THEN 'B-' ELSE 'I-' END || o.label, 'O') AS tag FROM tokens t LEFT JOIN (
+ SELECT doc_id, tok, label, min(tok) OVER (PARTITION BY doc_id, rank, no) AS opens FROM (
+  SELECT t.doc_id, t.tok, x.rank, x.no, x.label FROM tokens t JOIN entities x ON x.doc_id = t.doc_id AND t.e > x.s AND t.s < x.e
+  QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.tok ORDER BY x.rank, x.no) = 1)) o ON o.doc_id = t.doc_id AND o.tok = t.tok"""
+_TAG_VIEWS = {"tokens": (_TOKENS_SQL, ("label_text",)), "entities": (_ENTITIES_SQL, ("label_text",)), "bio": (_BIO_SQL, ("tokens", "entities"))}
+
+
 # --- corpus files --------------------------------------------------------------------------------
 @R.add("label_corpus", with_views(
     "SELECT 'label_' || scan_id || '.png' AS image, len(string_split(ocr_text, chr(10))) AS n_lines, violation, generic_name, mrp FROM label_text JOIN declarations USING (scan_id)", "label_text", "declarations"))
@@ -299,6 +320,42 @@ def prelabels(spark, d):
     return rows.where("_corrupt_record IS NULL").select("image", F.length("text").cast("bigint").alias("n"), "confidence")
 
 
+# The four sinks, read back.
+@R.add("sink_prelabels", "SELECT 'doc_' || doc_id AS image, length(text) AS n, CAST(doc_id % 100 AS DOUBLE) AS confidence FROM documents")
+def sink_prelabels(spark, d):
+    path, doc = scratch_path(spark, "sink-prelabels"), F.col("doc_id")
+    corpus.write_jsonl(star.read(spark, d, "documents").select(
+        F.concat(F.lit("doc_"), doc.cast("string")).alias("image"), "text", (doc % 100).cast("double").alias("confidence")), path)
+    return corpus.prelabels(spark, path).select("image", F.length("text").cast("bigint").alias("n"), "confidence")
+
+
+@R.add("sink_brands", """SELECT brand, example, code, row_number() OVER (ORDER BY lower(brand), brand) - 1 AS line_no FROM (
+ SELECT brand, min_by(p_name, p_partkey) AS example, lpad(CAST(min(p_partkey) AS VARCHAR), 8, '0') AS code FROM (
+  SELECT p_brand AS brand, p_name, p_partkey FROM part UNION ALL SELECT upper(p_type), p_name, p_partkey FROM part) GROUP BY brand)""")
+def sink_brands(spark, d):
+    """Brands in case-insensitive order over all files: the order is read off file names and places, not sorted again."""
+    path = scratch_path(spark, "sink-brands")
+    corpus.write_jsonl(corpus.distinct_brands(_products(spark, d)), path, order_by="brand")
+    return corpus.read_in_order(spark, path, "brand string, example string, code string")
+
+
+@R.add("sink_bio", with_views("SELECT doc_id, (SELECT ocr_text FROM label_text WHERE scan_id = doc_id) AS text, string_agg(token || chr(9) || tag, chr(10) ORDER BY tok) AS bio FROM bio GROUP BY doc_id", "bio", "label_text", replaced=_TAG_VIEWS))
+def sink_bio(spark, d):
+    path, docs = scratch_path(spark, "sink-bio"), settle(_label_docs(spark, d), "label-docs")
+    corpus.write_jsonl(tagging.bio_rows(docs, tagging.bio_from_patterns(docs)).where("size(bio) > 0"), path)
+    back = spark.read.schema("doc_id long, text string, bio array<array<string>>").json(path)
+    return back.select("doc_id", "text", F.array_join(F.transform("bio", lambda p: F.array_join(p, "\t")), "\n").alias("bio"))
+
+
+@R.add("sink_corpus", with_views("SELECT scan_id, ocr_text AS lines, violation, manufacturer_name FROM label_text JOIN declarations USING (scan_id)", "label_text", "declarations"))
+def sink_corpus(spark, d):
+    path = scratch_path(spark, "sink-corpus")
+    labelled = star.with_label(star.declarations(spark, d))
+    corpus.write_jsonl(labelled.select("scan_id", F.split("ocr_text", "\n").alias("lines"), F.struct("violation", "manufacturer_name").alias("truth")), path)
+    back = spark.read.schema("scan_id long, lines array<string>, truth struct<violation:string, manufacturer_name:string>").json(path)
+    return back.select("scan_id", F.array_join("lines", "\n").alias("lines"), "truth.violation", "truth.manufacturer_name")
+
+
 @R.add("eval_truth", "SELECT 's_' || s_suppkey AS image, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name || ',' || s_nationkey END AS makers, 'mrp,exp' AS absent FROM supplier")
 def eval_truth(spark, d):
     path = scratch_path(spark, "truth")
@@ -410,23 +467,6 @@ def _label_docs(spark, d):
     return star.label_text(spark, d).select(F.col("scan_id").alias("doc_id"), F.col("ocr_text").alias("text"))
 
 
-def _places_sql(pattern, more=""):
-    """Matches of a pattern in every label with their places, from the gaps between them."""
-    sizes = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
-    return f"""SELECT doc_id, no, ms[no] AS m{more}, ({sizes("gs[1:no]")} + {sizes("ms[1:no - 1]")})::BIGINT AS s FROM (
- SELECT *, unnest(range(1, len(ms) + 1)) AS no FROM (SELECT scan_id AS doc_id, regexp_extract_all(ocr_text, {quote(pattern)}) AS ms, string_split_regex(ocr_text, {quote(pattern)}) AS gs FROM label_text))"""
-
-
-_TOKENS_SQL = "SELECT doc_id, no - 1 AS tok, m AS token, s, s + length(m) AS e FROM (" + _places_sql(r"\S+") + ")"
-_ENTITIES_SQL = "SELECT doc_id, rank, no, label, s, s + length(m) AS e FROM (" + " UNION ALL ".join(
-    _places_sql(f"(?{flags})" + pattern, f", {rank} AS rank, {quote(label)} AS label") for rank, (label, pattern, flags) in enumerate(fv.ENTITY_PATTERNS)) + ") WHERE length(m) > 0"
-_BIO_SQL = """SELECT t.doc_id, t.tok, t.token, coalesce(CASE WHEN t.tok = o.opens THEN 'B-' ELSE 'I-' END || o.label, 'O') AS tag FROM tokens t LEFT JOIN (
- SELECT doc_id, tok, label, min(tok) OVER (PARTITION BY doc_id, rank, no) AS opens FROM (
-  SELECT t.doc_id, t.tok, x.rank, x.no, x.label FROM tokens t JOIN entities x ON x.doc_id = t.doc_id AND t.e > x.s AND t.s < x.e
-  QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.tok ORDER BY x.rank, x.no) = 1)) o ON o.doc_id = t.doc_id AND o.tok = t.tok"""
-_TAG_VIEWS = {"tokens": (_TOKENS_SQL, ("label_text",)), "entities": (_ENTITIES_SQL, ("label_text",)), "bio": (_BIO_SQL, ("tokens", "entities"))}
-
-
 @R.add("bio_from_patterns", with_views("SELECT doc_id, tok, token, tag FROM bio", "bio", replaced=_TAG_VIEWS))
 def bio_from_patterns(spark, d):
     return tagging.bio_from_patterns(_label_docs(spark, d))

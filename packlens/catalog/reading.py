@@ -226,7 +226,8 @@ def confidence_sources(spark, d):
     return rows.select("scan_id", F.try_element_at(marked, F.lit("generic_name")).alias("source"))
 
 
-@R.add("repair_spacing")
+@R.add("repair_spacing", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '([a-z])([A-Z])', '\1 \2', 'g'), '([.!?;:])([A-Za-z])', '\1 \2', 'g'),
+ '[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') AS text FROM documents""")
 def repair_spacing(spark, d):
     return star.read(spark, d, "documents").select("doc_id", ff.repair_spacing(F.col("text")).alias("text"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from packlens.functions.text import strip
 
@@ -67,8 +68,20 @@ def labelstudio_spans(spark: SparkSession, path: str, *, multi_line: bool = True
 
 
 def write_jsonl(df: DataFrame, path: str, *, order_by: str | None = None) -> None:
-    """JSON lines; brand lists are written in case-insensitive order through a range partitioning."""
-    (df.orderBy(F.lower(order_by)) if order_by else df).write.mode("errorifexists").json(path)
+    """JSON lines; brand lists are written in case-insensitive order (ties: as they stand) through a range partitioning."""
+    (df.orderBy(F.lower(order_by), order_by) if order_by else df).write.mode("errorifexists").json(path)
+
+
+def read_in_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Written JSON lines with ``line_no``, their place over all files in order of name: what a reader of the files one after another would see."""
+    here = ["__file", "__split"]
+    rows = spark.read.schema(schema).json(path).select(
+        "*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    before = F.sum("__n").over(W.orderBy(*here).rowsBetween(W.unboundedPreceding, -1))
+    # One row per split of a file, so this window is small however long the files are.
+    splits = rows.groupBy(*here).agg(F.count(F.lit(1)).alias("__n")).select(*here, F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*here).orderBy("__at"))
+    return rows.withColumn("__in", inside).join(splits, here).withColumn("line_no", F.col("__before") + F.col("__in") - 1).drop(*here, "__at", "__in", "__before")
 
 
 def labelstudio_tasks(rows: DataFrame, *, prefix: str = "") -> DataFrame:
