@@ -8,8 +8,8 @@ from packlens.catalog.oracle_views import with_views
 from packlens.catalog.registry import Registry
 from packlens.functions.text import lines_of, short_number
 from packlens.operators import barcodes, frames, layout, rules
-from packlens.session import settle
-from packlens.sources import star
+from packlens.session import scratch_path, settle
+from packlens.sources import captures, star
 
 R = Registry()
 L = "bigint"
@@ -100,6 +100,21 @@ def capture_quarantine(spark, d):
     return frames.capture_quarantine(captures).select("scan_id", F.col("frame_index").cast(L).alias("frame_index"), "reason")
 
 
+# Every document is a capture file; the largest are over the limit that the query sets.
+@R.add("capture_files", """SELECT scan_id, frame_index, content_type, length, CASE WHEN count(*) OVER (PARTITION BY scan_id) NOT BETWEEN 2 AND 5 THEN '422 send 2-5 images of the same label'
+    WHEN content_type IS NULL OR content_type = 'image/gif' THEN '415 unsupported type' WHEN length > 4000 THEN '413 file too large' ELSE 'accepted' END AS reason FROM (
+ SELECT doc_id // 3 AS scan_id, doc_id % 3 AS frame_index, CASE doc_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'image/gif' END AS content_type,
+  octet_length(encode(text)) + 1 AS length FROM documents)""")
+def capture_files(spark, d):
+    path, k = scratch_path(spark, "captures"), F.col("doc_id")
+    kinds = F.array(*[F.lit(x) for x in ("jpg", "PNG", "webp", "gif", "bmp")])
+    rows = star.read(spark, d, "documents").select(
+        F.expr("doc_id div 3").alias("scan_id"), (k % 3).alias("frame_index"), F.get(kinds, (k % 5).cast("int")).alias("kind"), F.col("text").alias("value"))
+    rows.repartition("scan_id").write.partitionBy("scan_id", "frame_index", "kind").text(path)
+    gated = frames.capture_quarantine(captures.capture_files(spark, path), max_bytes=4000)
+    return gated.select("scan_id", F.col("frame_index").cast(L).alias("frame_index"), "content_type", "length", "reason")
+
+
 _READS = """SELECT doc_id // 4 AS scan_id, CASE doc_id % 4 WHEN 2 THEN 'florence' WHEN 3 THEN 'vlm' ELSE 'tesseract' END AS engine, doc_id % 4 AS config_no,
   CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE text END AS text, CASE WHEN doc_id % 4 < 2 THEN CAST((doc_id * 37) % 101 AS DOUBLE) ELSE 0.0 END AS confidence FROM documents"""
 
