@@ -535,14 +535,14 @@ def corpus_train_eval_split(spark, d):
 def stream_findings(spark, d):
     out = scratch_path(spark, "stream-findings")
     live.stream_findings(live.arriving(star.declarations(spark, d), "arriving"), out, scratch_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(f"{out}/verdicts").select("scan_id", "verdict")
+    return live.verdicts_table(spark, out).select("scan_id", "verdict")
 
 
 @R.add("stream_findings_rows", with_views("SELECT scan_id, rule_id, status FROM findings", "findings"))
 def stream_findings_rows(spark, d):
     out = scratch_path(spark, "stream-findings")
     live.stream_findings(live.arriving(star.declarations(spark, d), "arriving"), out, scratch_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(f"{out}/findings").select("scan_id", "rule_id", "status")
+    return live.findings_table(spark, out).select("scan_id", "rule_id", "status")
 
 
 @R.add("stream_daily_volume", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day")

@@ -12,26 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from packlens.plans.evaluate import evaluate
+from packlens.operators import rules
+from packlens.operators.guidance import annotated_array
 from packlens.session import delete_scratch, exists, recorded, scratch_path, settle
 
 TERMINAL = ("done", "failed")
 
 
 def stream_findings(arriving: DataFrame, out: str, checkpoint: str):
-    """Declarations to findings (``out/findings``) and verdict rows with warnings (``out/verdicts``).
+    """Declarations to one row per scan: verdict, warnings and annotated findings, nested. Each batch is evaluated and written once.
 
     All of it stays inside the declaration row, so the stream keeps no state; a repeated trigger overwrites itself.
     """
 
     def write(batch: DataFrame, version: int) -> None:
-        findings, verdicts = evaluate(batch)
-        findings.write.mode("overwrite").parquet(f"{out}/findings/batch={version}")
-        verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={version}")
+        nested = rules.with_results(batch).withColumn("results", annotated_array(F.col("results"), F.col("ocr_confidence")))
+        rules.verdicts(nested, "results").write.mode("overwrite").parquet(f"{out}/batch={version}")
 
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def findings_table(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).select("scan_id", "ocr_confidence", F.inline("results"))
+
+
+def verdicts_table(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).drop("results", "batch")
+
+
 LATENESS, SLOTS, SPREAD = "2 days", 8, 16
 
 
