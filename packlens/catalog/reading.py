@@ -234,7 +234,7 @@ def repair_spacing(spark, d):
 
 # --- scoring -------------------------------------------------------------------------------------
 def _truth(spark, d):
-    """The declaration is the truth of its label; injected violations and gaps make fields absent."""
+    """Labels with their truth: the declaration, without what injected violations and gaps leave out."""
     v = F.col("violation")
     labelled = star.with_label(star.declarations(spark, d))
 
@@ -242,7 +242,7 @@ def _truth(spark, d):
         return F.when(~v.eqNullSafe(kind), F.col(name))
 
     rows = labelled.select(
-        "scan_id", F.when(F.col("scan_id") % 2 == 0, "synthetic").otherwise("real").alias("source"),
+        "scan_id", "ocr_text", "ocr_confidence", F.when(F.col("scan_id") % 2 == 0, "synthetic").otherwise("real").alias("source"),
         F.substring("generic_name", 1, 4).alias("t_generic_sub"),
         kept("net_quantity_value", "missing_netqty").alias("t_value"), F.col("net_quantity_unit").alias("t_unit"),
         kept("mrp", "missing_mrp").alias("t_mrp"),
@@ -256,8 +256,7 @@ def _truth(spark, d):
 
 
 def _scores(spark, d):
-    predicted = ex.extract_declarations(star.label_text(spark, d)).drop("ocr_text", "violation", "field_sources")
-    return scoring.truth_score(predicted, _truth(spark, d))
+    return scoring.score_rows(ex.extract_declarations(_truth(spark, d)).drop("ocr_text", "field_sources"))
 
 
 _SCORE_SQL = """SELECT p.scan_id, CASE WHEN p.scan_id % 2 = 0 THEN 'synthetic' ELSE 'real' END AS source, field, hit FROM (
