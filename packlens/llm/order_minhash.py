@@ -10,8 +10,8 @@ with it: common labelled shingles in the same order, within the band that the si
 reach the similarity could be near another member that the bucket's hub hides. So wherever a bucket has such a member and
 another one, all its members are dealt once more, by a prefix filter: every text's labelled shingles in one order for
 all texts, rarest first, cut to one more than a near text can lack. Two near texts always share one of those, so no pair is lost behind a hub. Texts
-that share one meet if they are not in one class already, and if their lengths and the places of the shared shingle leave
-room for the similarity. Rareness comes from counters of fixed size over all texts dealt; any order would find the same pairs.
+that share one meet if they are not in one class already, and if their lengths, the places of the shared shingle and the parities of all
+their shingles leave room for the similarity. Rareness comes from counters of fixed size over all texts dealt; any order would find the same pairs.
 
 Similarity is the share of order-keeping common shingles in all shingles, ``SIMILAR`` or more. Linked texts form classes.
 
@@ -25,10 +25,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm import wordbytes as wb
@@ -40,6 +41,7 @@ DRAWN = 3
 SKETCHES = 16
 SIMILAR = 0.8
 COUNTER_BITS = 20
+PARITIES = 16  # words of 64 bits
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = wb.mix(np.arange(1, 2 * 64 + 1, dtype=np.uint64)).reshape(2, 64) | np.uint64(1)
 
@@ -161,6 +163,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return full.select("hub", "uid", "hub_text", "uid_text").mapInArrow(run, "hub binary, uid binary, near boolean")
 
 
+def parities(labelled: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each text, how often shingles fall on each of 1024 bits, modulo 2. Two texts' parities differ in no more bits than the texts in shingles."""
+    n = len(bounds) - 1
+    slot = np.repeat(np.arange(n), np.diff(bounds)) * (64 * PARITIES) + (wb.mix(labelled) % np.uint64(64 * PARITIES)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * 64 * PARITIES) & 1).astype(np.uint8).reshape(n, 64 * PARITIES)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
 def _rareness(texts: DataFrame) -> np.ndarray:
     """How often shingles of each slot occur, as powers of two; 0 where once at most. Its size is fixed (1 MB)."""
 
@@ -185,6 +195,7 @@ def _rareness(texts: DataFrame) -> np.ndarray:
 def _hidden_pairs(texts: DataFrame, least: float) -> DataFrame:
     """Pairs (hub, uid) of texts (uid, class, text) of different classes that may be ``least`` alike: a prefix-filtered self-join."""
     ranks = _rareness(texts.select("text"))
+    odd_names = [f"odd{k}" for k in range(PARITIES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,20 +210,22 @@ def _hidden_pairs(texts: DataFrame, least: float) -> DataFrame:
                     places.append(np.flatnonzero(shared))
                     rows.append(int(shared.sum()))
                 row = np.repeat(np.arange(part.num_rows), rows)
-                size = np.diff(bounds)[row]
+                size, odd = np.diff(bounds)[row], parities(labelled, bounds)[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), part.column("uid").take(pa.array(row)), part.column("class").take(pa.array(row)), pa.array(size), pa.array(np.concatenate(places))],
-                    names=["key", "uid", "class", "size", "place"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), part.column("uid").take(pa.array(row)), part.column("class").take(pa.array(row)), pa.array(size), pa.array(np.concatenate(places)), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(PARITIES))],
+                    names=["key", "uid", "class", "size", "place", *odd_names],
                 )
 
-    rows = settle(texts.mapInArrow(run, "key bigint, uid binary, class binary, size bigint, place bigint"), "prefixes")
+    rows = settle(texts.mapInArrow(run, "key bigint, uid binary, class binary, size bigint, place bigint, " + ", ".join(f"{c} bigint" for c in odd_names)), "prefixes")
     busy = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
     one = rows.join(busy, "key")
-    two = one.toDF("key", "other", "other_class", "other_size", "other_place")
+    two = one.toDF("key", "other", "other_class", "other_size", "other_place", *(f"other_{c}" for c in odd_names))
     # The first shingle that two texts share leaves at most what follows it in either for the rest.
     needed = F.ceil((F.col("size") + F.col("other_size")) * least / (1 + least) - 1e-9)
     room = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
-    met = one.join(two, "key").where((F.col("uid") < F.col("other")) & (F.col("class") != F.col("other_class")) & (room >= needed))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in odd_names])
+    fits = (room >= needed) & (differ <= F.col("size") + F.col("other_size") - 2 * needed)
+    met = one.join(two, "key").where((F.col("uid") < F.col("other")) & (F.col("class") != F.col("other_class")) & fits)
     return met.select(F.col("other").alias("hub"), "uid").distinct()
 
 

@@ -83,3 +83,16 @@ def test_prefixes_meet():
             shared = min(set(a.tolist()) & set(b.tolist()), key=lambda v: (ranks[int(v)], v))
             room = min(len(x) - sorted(x.tolist(), key=lambda v: (ranks[int(v)], v)).index(shared) for x in (a, b))
             assert room >= np.ceil((len(a) + len(b)) * om.SIMILAR / (1 + om.SIMILAR) - 1e-9)
+
+
+def test_parities_never_differ_more_than_texts():
+    from packlens.llm import order_minhash as om
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [rng.permutation(pool)[: int(rng.integers(0, 1500))] for _ in range(40)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    odd = om.parities(np.concatenate(sets), bounds).view(np.uint64)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= len(np.setxor1d(sets[i], sets[j]))
