@@ -78,7 +78,7 @@ def merge_scan(frames: DataFrame, *, uploads: DataFrame | None = None, names: Da
     decl = extract_declarations(merged, names)
     if "boxes" in frames.columns:
         decl = settle(decl, "merged-declarations")
-        words = decl.where("size(best_boxes) > 0").select("scan_id", F.inline("best_boxes"))
+        words = decl.where("size(best_boxes) > 0").select("scan_id", "best_boxes").repartition("scan_id").select("scan_id", F.inline("best_boxes"))
         decl = layout_rescue(decl, settle(visual_lines(words), "merged-rows"))
     decl = decl.withColumns({
         "min_numeral_height_mm": F.col("font_mm"), "min_letter_height_mm": F.col("letter_mm"), "min_width_to_height_ratio": F.col("ratio"),

@@ -136,3 +136,24 @@ def test_known_makers_inside_extraction(spark):
     assert all(known[i].manufacturer_name is None and known[i].field_sources == plain[i].field_sources for i in (3, 4, 5))
     drop = ("manufacturer_name", "field_sources")
     assert all(known[i][c] == plain[i][c] for i in known for c in plain[0].asDict() if c not in drop)
+
+
+def test_words_dealt_by_scan_are_not_shuffled_again(spark):
+    words = spark.createDataFrame([(s, i, f"w{i}", 120 * i, 40 * (i // 3) + s, 50, 20, 50.0) for s in (1, 2) for i in range(9)] + [
+        (None, 1, "lost", 0, 0, 50, 20, 50.0)], "scan_id long, ord long, text string, x int, y int, w int, h int, confidence double").repartition("scan_id")
+    weak = layout.row_boxes(words).select("*", F.lit("MRP Rs. 10").alias("new_text"))
+    for out in (layout.visual_lines(words), layout.weak_rows(words), layout.accepted_rereads(weak.drop("new_text"), weak.select("scan_id", "row_key", "new_text"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan and "InPandas" not in plan
+    assert sorted((r.scan_id, r.text) for r in layout.visual_lines(words).collect()) == [(s, f"w{i} w{i + 1} w{i + 2}") for s in (1, 2) for i in (0, 3, 6)]
+
+
+def test_spliced_rows_replace_their_words_only(spark):
+    word = "scan_id long, ord long, text string, x int, y int, w int, h int, confidence double"
+    words = spark.createDataFrame([(1, 1, "a", 0, 40, 9, 20, 1.0), (1, 2, "b", 9, 40, 9, 20, 1.0), (1, 3, "c", 0, 80, 9, 20, 1.0),
+                                   (2, 1, "d", 0, 40, 9, 20, 1.0), (None, 1, "e", 0, 40, 9, 20, 1.0)], word)
+    repairs = spark.createDataFrame([(1, 2, 1, "new", 0, 40, 18, 20, 5.0), (3, 2, 1, "alone", 0, 40, 18, 20, 5.0), (None, 2, 1, "nowhere", 0, 40, 9, 20, 5.0)],
+                                    "scan_id long, row_key long, accepted_no int, new_text string, x int, y int, w int, h int, confidence double")
+    got = layout.row_repair_splice(words, repairs)
+    assert sorted((r.scan_id or 0, r.text) for r in got.collect()) == [(0, "e"), (0, "nowhere"), (1, "c"), (1, "new"), (2, "d"), (3, "alone")]
+    assert dict(got.dtypes) == dict(words.dtypes)
