@@ -157,3 +157,11 @@ def test_spliced_rows_replace_their_words_only(spark):
     got = layout.row_repair_splice(words, repairs)
     assert sorted((r.scan_id or 0, r.text) for r in got.collect()) == [(0, "e"), (0, "nowhere"), (1, "c"), (1, "new"), (2, "d"), (3, "alone")]
     assert dict(got.dtypes) == dict(words.dtypes)
+
+
+def test_large_inputs_are_spread_too(spark):
+    from packlens.sources import star
+    cores = spark.sparkContext.defaultParallelism
+    big = spark.range(0, 1 << 26, 1, 1)  # 512 MB by its statistics, in one piece: what one row group of a large file gives
+    assert star.spread(big).rdd.getNumPartitions() >= 8 * cores
+    assert star.spread(spark.range(0, 8, 1, 1)).rdd.getNumPartitions() == 1
