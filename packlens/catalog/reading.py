@@ -369,7 +369,8 @@ def merge_scan_verdicts(spark, d):
 def _merged(spark, d):
     calibrated = (F.col("scan_id") + F.col("frame_index")) % 4 == 1
     size = (F.col("scan_id") % 30 / 10).cast("double")
-    frames = star.document_frames(spark, d).withColumns({
+    docs = star.document_frames(spark, d)
+    frames = docs.repartition(star.tasks_for(docs), "scan_id").withColumns({
         "font_mm": F.when(calibrated, size), "letter_mm": F.when(calibrated, size), "ratio": F.lit(0.5), "has_boxes": F.lit(True)})
     return merge_scan(frames)
 
@@ -423,7 +424,8 @@ def merge_labels(spark, d):
 def _label_captures(spark, d):
     k, f = F.col("scan_id"), F.col("frame_index")
     kept = F.filter(F.transform(F.split("ocr_text", "\n"), lambda line, no: F.struct(no.alias("no"), line.alias("line"))), lambda x: (x["no"] + f) % 3 != 0)
-    frames = star.label_text(spark, d).select("scan_id", "ocr_text", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("frame_index")).select("scan_id", "frame_index", kept.alias("ls"))
+    texts = star.label_text(spark, d).select("scan_id", "ocr_text").repartition(star.tasks_for(star.read(spark, d, "orders")), "scan_id")
+    frames = texts.select("scan_id", "ocr_text", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("frame_index")).select("scan_id", "frame_index", kept.alias("ls"))
     words = F.flatten(F.transform("ls", lambda x: F.transform(F.split(x["line"], " "), lambda w, i: F.struct(
         (x["no"] * 1000 + i).cast("bigint").alias("ord"), w.alias("text"), (i * 120).alias("x"), (x["no"] * 40).alias("y"), (F.length(w) * 10).alias("w"), F.lit(20).alias("h"), F.lit(80.0).alias("confidence")))))
     size = F.when((k + f) % 4 == 1, (k % 30) / 10)

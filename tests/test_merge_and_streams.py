@@ -89,3 +89,18 @@ def test_names_of_one_character_match(spark):
     queries = spark.createDataFrame([("made by x company",), ("nothing of it",)], "query string")
     names = spark.createDataFrame([("x", 0), ("zzzz zzzz", 1)], "name string, position int")
     assert [(r["query"], r["name"], r["score"]) for r in match_names(queries, names).collect()] == [("made by x company", "x", 100.0)]
+
+
+def test_captures_lie_by_scan_before_their_boxes_are_made(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from packlens.catalog import reading
+    from packlens.plans.merge import choose_frames
+    from packlens.sources import star
+    texts = spark.range(6).select(F.col("id").alias("scan_id"), F.lit("Soap\nMRP Rs. 10\nMfg: 01/02/2024").alias("ocr_text"))
+    monkeypatch.setattr(star, "label_text", lambda *_: texts)
+    monkeypatch.setattr(star, "read", lambda *_: texts)
+    captures = reading._label_captures(spark, "")
+    chosen = choose_frames(captures.withColumns({c: F.lit(None).cast(k) for c, k in (("ocr_engine", "string"), ("coord_w", "int"), ("coord_h", "int"), ("ppm", "double"))}))
+    assert "ENSURE_REQUIREMENTS" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert chosen.count() == 6
