@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from packlens import fixed_values as fv
 from packlens.functions.text import float_text, lines_of, squeeze, strip
-from packlens.operators.ordered import first_k, run_starts
+from packlens.operators.ordered import first_k
 
 TEXT_LIMIT = 8000
 
@@ -89,9 +90,15 @@ def box_cap(words: DataFrame, *, k: int = 500) -> DataFrame:
 
 
 def line_rebuild(words: DataFrame) -> DataFrame:
-    """Lines from word rows: consecutive words with equal (block, par, line) belong together."""
-    said = words.where(strip(F.col("text")) != "").withColumn("text", strip(F.col("text")))
-    runs = run_starts(said, ["scan_id"], "ord", ["block", "par", "line"])
+    """Lines from word rows: consecutive words with equal (block, par, line) belong together.
+
+    The words of one scan are those of one image, so a window by scan is enough, and words that lie by scan are not shuffled.
+    """
+    said = words.where(strip(F.col("text")) != "").withColumn("text", strip(F.col("text"))).where("scan_id IS NOT NULL AND ord IS NOT NULL")
+    by_place = W.partitionBy("scan_id").orderBy("ord")
+    line = F.struct("block", "par", "line")
+    opened = said.withColumn("run_start", F.when(~line.eqNullSafe(F.lag(line).over(by_place)), F.col("ord")))
+    runs = opened.withColumn("run_start", F.max("run_start").over(by_place.rowsBetween(W.unboundedPreceding, 0)))
     packed = F.array_sort(F.collect_list(F.struct("ord", "text")))
     return runs.groupBy("scan_id", "run_start").agg(packed.alias("ws")).select(
         "scan_id", "run_start", F.array_join(F.transform("ws", lambda r: r["text"]), " ").alias("line"))

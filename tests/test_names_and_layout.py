@@ -165,3 +165,13 @@ def test_large_inputs_are_spread_too(spark):
     big = spark.range(0, 1 << 26, 1, 1)  # 512 MB by its statistics, in one piece: what one row group of a large file gives
     assert star.spread(big).rdd.getNumPartitions() >= 8 * cores
     assert star.spread(spark.range(0, 8, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_lines_of_words_dealt_by_scan_are_not_shuffled(spark):
+    from packlens.operators import frames
+    at = [(0, 0, 0), (0, 0, 0), (0, 0, 1), (0, 0, 0), (None, 0, 0), (None, 0, 0)]
+    words = spark.createDataFrame([(s, i, f"w{i}", *p) for s in (1, 2) for i, p in enumerate(at)] + [(None, 1, "lost", 0, 0, 0), (1, None, "lost", 0, 0, 0)],
+                                  "scan_id long, ord long, text string, block int, par int, line int").repartition("scan_id")
+    out = frames.line_rebuild(words)
+    assert "ENSURE_REQUIREMENTS" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(s, *x) for s in (1, 2) for x in ((0, "w0 w1"), (2, "w2"), (3, "w3"), (4, "w4 w5"))]
