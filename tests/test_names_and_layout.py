@@ -115,6 +115,25 @@ def test_long_names_and_hot_segments(spark, monkeypatch):
         assert {r["query"]: r["name"] for r in got.collect()} == expected
 
 
+def test_names_of_one_template_meet_few_others(spark, monkeypatch):
+    monkeypatch.setattr(gazetteer, "PER_SALT", 3)
+    names = [f"Supplier#000000{i}" for i in range(100, 180)]
+    queries = [n[:at] + "~" + n[at + 1:] for at, n in zip((2, 9, 13, 16, 17, 0), names[5::13])]
+    queries += ["Supplier#0000001~~", "by Supplier#0000001", "x~pplier#000000150, Plot 4", "Main Road"]  # two characters lost at an end
+    asked = spark.createDataFrame([(q,) for q in queries], "query string")
+    known = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, position long")
+    assert gazetteer.near_pairs(asked, known, cutoff=93.0).select("query", "name").distinct().count() < 12 * len(queries)
+    found = asked.where("query LIKE '%~%' AND query NOT LIKE '%~~%'").where("length(query) = 18").select("query", F.lit(19).alias("least"))
+    assert gazetteer.rest_pairs(found, known, cutoff=93.0).count() == 0  # nothing that loses two of 18 characters beats what loses one
+    expected = {}
+    for q in queries:
+        raw, at = max((gazetteer.partial_ratio(q, n), -i) for i, n in enumerate(names))
+        if raw >= 93:
+            expected[q] = (names[-at], round(raw, 1))
+    assert "Supplier#0000001~~" in expected
+    assert {r["query"]: (r["name"], r["score"]) for r in gazetteer.match_names(asked, known, cutoff=93.0).collect()} == expected
+
+
 def test_known_makers_inside_extraction(spark):
     from packlens.operators.extraction import extract_declarations
 
