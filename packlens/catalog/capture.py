@@ -110,8 +110,8 @@ def capture_files(spark, d):
     kinds = F.array(*[F.lit(x) for x in ("jpg", "PNG", "webp", "gif", "bmp")])
     rows = star.read(spark, d, "documents").select(
         F.expr("doc_id div 3").alias("scan_id"), (k % 3).alias("frame_index"), F.get(kinds, (k % 5).cast("int")).alias("kind"), F.col("text").alias("value"))
-    rows.repartition("scan_id").write.partitionBy("scan_id", "frame_index", "kind").text(path)
-    gated = frames.capture_quarantine(captures.capture_files(spark, path), max_bytes=4000)
+    captures.write_captures(rows, path)
+    gated = frames.capture_quarantine(settle(captures.capture_files(spark, path), "capture-list"), max_bytes=4000)
     return gated.select("scan_id", F.col("frame_index").cast(L).alias("frame_index"), "content_type", "length", "reason")
 
 

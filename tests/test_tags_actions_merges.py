@@ -1,6 +1,7 @@
 """Tags against the plain loop, officer actions at scan grain against finding grain, merged scans, capture files."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -108,6 +109,26 @@ def test_capture_files_never_read_their_content(spark, tmp_path):
     assert "content#" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_captures_are_written_and_listed_by_tasks(spark, tmp_path):
+    from packlens.sources.captures import capture_files, write_captures
+
+    rows = spark.createDataFrame(
+        [(k // 3, k % 3, ("jpg", "PNG", "gif", "bmp")[k % 4], "é\n" * (k % 7)) for k in range(300)]
+        + [(5, 0, "PNG", "again"), (5, 0, "PNG", None), (None, None, None, "lost"), (7, 9, "a=b/c", "odd"), (-3, -1, None, None)],
+        "scan_id long, frame_index long, kind string, value string")
+    write_captures(rows, str(tmp_path / "own"))
+    rows.write.partitionBy("scan_id", "frame_index", "kind").text(str(tmp_path / "spark"))
+    own = capture_files(spark, str(tmp_path / "own"))
+    assert "FileScan" not in own._jdf.queryExecution().executedPlan().toString()  # no listing on the driver
+    # Spark's writer opens a file per task and key: lengths of one key are summed.
+    listed = lambda df: sorted(map(tuple, df.groupBy("scan_id", "frame_index", "content_type").agg(F.sum("length")).collect()), key=str)
+    theirs = spark.read.format("binaryFile").load(str(tmp_path / "spark")).selectExpr("CAST(scan_id AS long) AS scan_id", "CAST(frame_index AS int) AS frame_index",
+        "CASE lower(kind) WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'gif' THEN 'image/gif' END AS content_type", "length")
+    assert listed(own) == listed(theirs) and own.count() == 304
+    one = own.where("scan_id = 7 AND frame_index = 9").first()
+    assert one["file"].startswith(f"file:{tmp_path}/own/scan_id=7/frame_index=9/kind=a%3Db%2Fc/") and abs(one["modified"].timestamp() - time.time()) < 600
+
+
 def test_lines_read_back_in_their_order(spark, tmp_path):
     from packlens.sources.corpus import read_in_order, write_jsonl
 
