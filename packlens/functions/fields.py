@@ -45,6 +45,12 @@ def first_of(items: Column) -> Column:
     return F.get(F.array_compact(items), 0)
 
 
+def first_where(items: Column, kind: T.DataType | str, holds: Callable[[Column], Column]) -> Column:
+    """The first item for which ``holds``; items behind it are not looked at."""
+    kind = kind if isinstance(kind, str) else kind.simpleString()
+    return F.aggregate(items, F.lit(None).cast(kind), lambda found, item: F.when(found.isNotNull(), found).otherwise(F.when(holds(item), item)))
+
+
 # --- repairs -------------------------------------------------------------------------------------
 def _closest(vocabulary: tuple[str, ...], cutoff: float) -> Callable:
     def closest(words: pd.Series) -> pd.Series:
@@ -108,7 +114,9 @@ def fix_qty_units(text: Column) -> Column:
         scoped = F.when(line.rlike(ci(fv.P_QTY_HEAD)), unit).otherwise(line)
         return F.regexp_replace(scoped, ci(r"(?<=\d)\s*(?:mla|mle|mie|rnI|m1)\b"), " ml")
 
-    return F.array_join(F.transform(lines_of(text), fix), "\n")
+    lines = lines_of(text)  # what a pattern finds on a line it finds in the whole text too
+    scoped = text.rlike(ci(fv.P_QTY_HEAD)) | text.rlike(ci(r"(?<=\d)\s*(?:mla|mle|mie|rnI|m1)\b"))
+    return F.array_join(F.when(scoped, F.transform(lines, fix)).otherwise(lines), "\n")
 
 
 def fix_mrp_digits(text: Column) -> Column:
@@ -249,7 +257,7 @@ def paired_expiry(text: Column, lines: Column, mfg: Column) -> Column:
 
 def bare_dates(lines: Column) -> Column:
     """Four-digit-year dates in reading order, nutrition lines left out."""
-    plain = F.filter(lines, lambda s: s.rlike(cs(fv.P_BARE_DATE)) & ~s.rlike(ci(fv.P_NUTRITION)))
+    plain = F.filter(lines, lambda s: s.rlike(cs(r"\d")) & s.rlike(cs(fv.P_BARE_DATE)) & ~s.rlike(ci(fv.P_NUTRITION)))
     return F.array_compact(parse_label_dates(F.flatten(F.transform(plain, lambda s: all_matches(s, cs(fv.P_BARE_DATE), 1)))))
 
 
@@ -323,11 +331,11 @@ def extract_generic(lines: Column) -> Column:
             line.rlike("[A-Za-z]{3,}") & (F.length(line) <= 160) & ~line.rlike(ci(fv.P_GENERIC_SKIP))
             & ~line.rlike(ci(fv.P_LONE_LABEL)) & ~line.rlike(_DECLARED) & ~is_measurement(line))
 
-    def best_line(candidates: Column) -> Column:
-        wordy = F.get(F.filter(candidates, lambda s: letters(F.substring(s, 1, 120)) >= 8), 0)
-        return F.coalesce(wordy, F.get(candidates, 0))
+    def wordy(line: Column) -> Column:
+        return letters(F.substring(line, 1, 120)) >= 8
 
-    chosen = F.substring(F.coalesce(name, let(F.filter(lines, substantial), best_line)), 1, 120)
+    best_line = F.coalesce(first_where(lines, "string", lambda s: wordy(s) & substantial(s)), first_where(lines, "string", lambda s: ~wordy(s) & substantial(s)))
+    chosen = F.substring(F.coalesce(name, best_line), 1, 120)
     return let(chosen, lambda c: F.when(F.length(c) > 2, c))
 
 

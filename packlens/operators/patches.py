@@ -151,37 +151,45 @@ def source_trigger(findings: DataFrame) -> DataFrame:
 def layout_rescue(decl: DataFrame, lines: DataFrame) -> DataFrame:
     """Gap-only fill from visual rows: price below its keyword, dates on or below anchors, maker block.
 
-    Only scans with a gap take part; anchors are one row per scan, neighbours at most two.
+    Only scans with a gap take part. The rows of a scan, in reading order, come to its declaration as one array, so every look at them is a step inside the row.
     """
-    from packlens.functions.fields import extract_maker
+    from packlens.functions.fields import extract_maker, first_where
     from packlens.functions.text import all_matches, cs
     from packlens.functions.dates import parse_label_dates
-    from packlens.operators.layout import anchor_rows, rows_below
 
     gaps = decl.where("mrp IS NULL OR mfg_date IS NULL OR expiry_date IS NULL OR manufacturer_name IS NULL").select("scan_id")
-    own = lines.join(gaps, "scan_id", "left_semi")
-    ok_price = ~F.col("text").rlike(ci(fv.P_MRP_POISON)) & ~F.col("text").rlike(ci(fv.P_NUTRITION))
-    price = plain_number(first_match(strip(F.col("text")), cs(fv.P_MRP_AMOUNT_LINE)))
-    below = rows_below(own, anchor_rows(own, ci(fv.P_MRP_KEYWORD)), k=2).where(ok_price).withColumn("price", price).where("price > 0")
-    prices = below.groupBy("scan_id").agg(F.min_by("price", "nth").alias("r_mrp"))
-    rows = None
-    for order, pattern in enumerate((fv.P_MFG_LINE, fv.P_EXP_LINE)):
-        anchors = anchor_rows(own, ci(pattern))
-        here = own.join(anchors, "scan_id").where(F.struct("y0", "x0", "first_ord") == F.col("a_order")).select(
-            "scan_id", F.lit(order * 2).alias("o"), "text")
-        nxt = rows_below(own, anchors, k=1).select("scan_id", F.lit(order * 2 + 1).alias("o"), "text")
-        rows = here.unionByName(nxt) if rows is None else rows.unionByName(here).unionByName(nxt)
-    dated = rows.where(~F.col("text").rlike(ci(fv.P_NUTRITION))).groupBy("scan_id").agg(
-        F.array_sort(F.collect_list(F.struct("o", "text"))).alias("rs"))  # at most four rows per scan
-    tokens = F.array_distinct(F.flatten(F.transform("rs", lambda r: all_matches(r["text"], "(?U)" + fv.P_DATE_SHAPE))))
-    dates = dated.select("scan_id", F.array_compact(parse_label_dates(tokens)).alias("r_dates"))
-    maker_lines = own.join(decl.where("manufacturer_name IS NULL").select("scan_id"), "scan_id", "left_semi").groupBy("scan_id").agg(
-        F.array_sort(F.collect_list(F.struct("y0", "x0", "first_ord", "text"))).alias("ls"))
-    makers = maker_lines.select("scan_id", extract_maker(F.transform("ls", lambda r: r["text"])).alias("r_maker"))
-    df = decl.join(prices, "scan_id", "left").join(dates, "scan_id", "left").join(makers, "scan_id", "left")
+    order = ("y0", "x0", "first_ord")
+    own = lines.join(gaps, "scan_id", "left_semi").groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(*order, "text", "y1"))).alias("__rows"))
+    df = decl.join(own, "scan_id", "left")
+    rows = F.col("__rows")
+
+    def place(r: Column) -> Column:
+        return F.struct(*[r[c].alias(c) for c in order])
+
+    def anchor(pattern: str) -> Column:
+        return first_where(rows, df.schema["__rows"].dataType.elementType, lambda r: r["text"].rlike(pattern))
+
+    def below(a: Column, k: int) -> Column:
+        return F.slice(F.filter(rows, lambda r: (place(r) > place(a)) & (r["y0"] >= a["y1"] - 2)), 1, k)
+
+    def said(a: Column) -> Column:
+        here = F.array_sort(F.transform(F.filter(rows, lambda r: place(r) == place(a)), lambda r: r["text"]))
+        return F.when(a.isNotNull(), F.concat(here, F.transform(below(a, 1), lambda r: r["text"]))).otherwise(F.array().cast("array<string>"))
+
+    def price(r: Column) -> Column:
+        ok = ~r["text"].rlike(ci(fv.P_MRP_POISON)) & ~r["text"].rlike(ci(fv.P_NUTRITION))
+        return F.when(ok, plain_number(first_match(strip(r["text"]), cs(fv.P_MRP_AMOUNT_LINE))))
+
+    no_name, no_date = F.col("manufacturer_name").isNull(), F.col("mfg_date").isNull() | F.col("expiry_date").isNull()
+    df = stage(df, __mrp=F.when(F.col("mrp").isNull(), anchor(ci(fv.P_MRP_KEYWORD))), __mfg=F.when(no_date, anchor(ci(fv.P_MFG_LINE))), __exp=F.when(no_date, anchor(ci(fv.P_EXP_LINE))))
+    dated = F.filter(F.concat(said(F.col("__mfg")), said(F.col("__exp"))), lambda t: ~t.rlike(ci(fv.P_NUTRITION)))
+    prices = F.transform(below(F.col("__mrp"), 2), price)
+    df = stage(df, r_mrp=F.when(F.col("__mrp").isNotNull(), F.get(F.filter(prices, lambda p: p > 0), 0)),
+               __tokens=F.when(no_date, F.array_distinct(F.flatten(F.transform(dated, lambda t: all_matches(t, "(?U)" + fv.P_DATE_SHAPE))))),
+               r_maker=F.when(no_name, extract_maker(F.transform(rows, lambda r: r["text"]))))
+    df = stage(df, r_dates=F.array_compact(parse_label_dates(F.col("__tokens"))))
     mfg = F.coalesce("mfg_date", F.get("r_dates", 0))
     later = F.get(F.filter("r_dates", lambda x: x > mfg), 0)
-    no_name = F.col("manufacturer_name").isNull()
     out = {
         "mrp": F.coalesce("mrp", "r_mrp"), "mfg_date": mfg, "expiry_date": F.coalesce("expiry_date", later),
         "manufacturer_address": F.when(no_name, F.coalesce("manufacturer_address", "r_maker.address")).otherwise(F.col("manufacturer_address")),

@@ -194,3 +194,32 @@ def test_lines_of_words_dealt_by_scan_are_not_shuffled(spark):
     out = frames.line_rebuild(words)
     assert "ENSURE_REQUIREMENTS" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in out.collect()) == [(s, *x) for s in (1, 2) for x in ((0, "w0 w1"), (2, "w2"), (3, "w3"), (4, "w4 w5"))]
+
+
+def test_rescue_looks_at_rows_inside_a_scan(spark):
+    from packlens.operators.patches import layout_rescue
+
+    decl = spark.createDataFrame(
+        [(1, None, None, None, None, None, {}), (2, 5.0, None, None, "Own", None, {"mrp": "read"}), (3, None, None, None, None, None, {}), (None, None, None, None, None, None, {}), (1, 7.0, None, None, None, "Old", {})],
+        "scan_id long, mrp double, mfg_date date, expiry_date date, manufacturer_name string, manufacturer_address string, field_sources map<string,string>")
+    texts = ["MRP", "Energy per 100 g 12", "Rs. 45.50", "Mfg: 01/02/2024", "Manufactured by: Acme Foods", "Plot 4, Pune", "Exp", "05/06/2025"]
+    rows = [(1, 0.0, k * 30.0, 90.0, k * 30.0 + 20, 80.0, k, t) for k, t in enumerate(texts)]
+    rows += [(2, 0.0, 0.0, 90.0, 20.0, 80.0, 1, "Mfg"), (2, 0.0, 0.0, 90.0, 20.0, 80.0, 1, "02/03/2023"), (2, 0.0, 17.0, 90.0, 40.0, 80.0, 2, "03/04/2022")]
+    lines = spark.createDataFrame(rows, "scan_id long, x0 double, y0 double, x1 double, y1 double, conf double, first_ord long, text string")
+    out = layout_rescue(decl, lines)
+    got = sorted((tuple(str(v) for v in r[:5]) for r in out.select("scan_id", "mrp", "mfg_date", "expiry_date", "manufacturer_name").collect()))
+    assert got == sorted([
+        ("1", "45.5", "2024-02-01", "2025-06-05", "Acme Foods"), ("1", "7.0", "2024-02-01", "2025-06-05", "Acme Foods"),
+        ("2", "5.0", "2023-03-02", "None", "Own"), ("3", "None", "None", "None", "None"), ("None", "None", "None", "None", "None")])
+    assert out.where("scan_id = 1 AND mrp = 7").first()["manufacturer_address"] == "Old"
+    # A scan's rows come to its declaration once: one join on them, and one for the scans that have a gap.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_first_where_stops_at_the_first_hit(spark):
+    from packlens.functions.fields import first_where
+
+    items = spark.createDataFrame([(["1", "2", "x"],), (["x"],), ([],), (None,)], "a array<string>")
+    # Casting 'x' fails: behind the first hit nothing is looked at.
+    got = items.where("a IS NULL OR size(a) <> 1").select(first_where(F.col("a"), "string", lambda s: s.cast("int") > 1).alias("v")).collect()
+    assert [r["v"] for r in got] == ["2", None, None]
