@@ -89,9 +89,12 @@ def effective_statuses(decl: DataFrame, actions: DataFrame, *keep: str) -> DataF
 
 
 def effective_findings(decl: DataFrame, actions: DataFrame) -> DataFrame:
-    """Annotated findings after all actions: folded inside each scan's row, exploded once at the end."""
-    rows = rules.with_results(decl).select("scan_id", "ocr_confidence", "results")
-    rows = rows.withColumn("results", annotated_array(F.col("results"), F.col("ocr_confidence"))).join(rule_actions(actions), "scan_id", "left")
+    """Annotated findings after all actions: folded inside each scan's row, exploded once at the end.
+
+    Actions join declarations, not their findings: those are many times as large, and this join may have to shuffle its rows.
+    """
+    rows = rules.with_results(decl.join(rule_actions(actions), "scan_id", "left")).select("scan_id", "ocr_confidence", "acts", "results")
+    rows = rows.withColumn("results", annotated_array(F.col("results"), F.col("ocr_confidence")))
     steps = F.array(*[F.lit(s) for s in fv.DISPUTED_STEPS])
 
     def folded(f: Column) -> Column:

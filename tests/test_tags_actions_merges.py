@@ -143,3 +143,25 @@ def test_tags_make_training_rows(spark):
     rows = {r["doc_id"]: r["bio"] for r in tagging.bio_rows(docs, tagging.bio_from_patterns(docs)).collect()}
     assert rows[8] == [["a", "O"], ["b", "O"]] and rows[2] == [] and [t for t, _ in rows[1]] == TEXTS[0][1].split()
     assert tagging.bio_rows(docs.where(F.lit(False)), tagging.bio_from_patterns(docs)).count() == 0
+
+
+def test_actions_meet_declarations_not_findings(spark):
+    from packlens.operators import review
+    from packlens.sources.corpus import DECLARATION
+
+    kinds = ", ".join(DECLARATION.split(", ")[:18])
+    decl = spark.createDataFrame([(k, None, *["Mustard Oil" if c.startswith("generic_name") and k == 1 else None for c in kinds.split(", ")]) for k in (1, 2, 2, None)],
+                                 f"scan_id long, ocr_confidence double, {kinds}")
+    actions = spark.createDataFrame([(1, 5, "dispute", None), (2, 6, "attest", "seen"), (9, 7, "attest", None)], "scan_id long, event_id long, action string, observed string").selectExpr(
+        "*", f"'{fv.R_GENERIC}' AS rule_id", "'x' AS by", "timestamp_seconds(event_id) AS at")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = review.effective_findings(decl, actions).where(F.col("rule_id") == fv.R_GENERIC)
+        got = {(r["scan_id"], r["status"], r["manual"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(1, fv.FAIL, True), (2, fv.PASS, True), (None, fv.NOT_FOUND, False)}
+    joined = plan[plan.index("Join LeftOuter"):]
+    assert "message" not in joined and "citation" not in joined  # what a join has to shuffle
