@@ -223,3 +223,19 @@ def test_first_where_stops_at_the_first_hit(spark):
     # Casting 'x' fails: behind the first hit nothing is looked at.
     got = items.where("a IS NULL OR size(a) <> 1").select(first_where(F.col("a"), "string", lambda s: s.cast("int") > 1).alias("v")).collect()
     assert [r["v"] for r in got] == ["2", None, None]
+
+
+def test_names_are_not_copied_to_the_driver(spark, monkeypatch):
+    from packlens.operators import gazetteer
+
+    names = spark.createDataFrame([(f"Supplier#{k:09d}", k) for k in range(300)] + [("Acme Foods", 900)], "name string, position long")
+    decl = spark.createDataFrame([(k, f"Supplier#{k:09d}".replace("lier", "l~er") if k % 2 else f"by Supplier#{k:09d}") for k in range(40)] + [(99, None), (98, "Acme Foods"), (98, "Acme Fodds")],
+                                 "scan_id long, manufacturer_name string")
+    got = {}
+    for held in (gazetteer.HELD_ROWS, -1):
+        monkeypatch.setattr(gazetteer, "HELD_ROWS", held)
+        out = gazetteer.gazetteer_fix(decl, names)
+        assert held > 0 or "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got[held] = sorted((r["scan_id"], r["manufacturer_name"], r["rewritten"]) for r in out.where("scan_id <> 99").collect())
+    assert len({str(x) for x in got.values()}) == 1
+    assert (1, "Supplier#000000001", True) in got[-1] and (0, "by Supplier#000000000", False) in got[-1] and (98, "Acme Foods", False) in got[-1]
