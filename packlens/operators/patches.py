@@ -148,6 +148,11 @@ def source_trigger(findings: DataFrame) -> DataFrame:
     return findings.groupBy("scan_id").agg(F.bool_or(failed | weak).alias("wanted")).where("wanted").select("scan_id")
 
 
+def with_gaps(decl: DataFrame) -> DataFrame:
+    """The declarations that visual rows could fill."""
+    return decl.where("mrp IS NULL OR mfg_date IS NULL OR expiry_date IS NULL OR manufacturer_name IS NULL")
+
+
 def layout_rescue(decl: DataFrame, lines: DataFrame) -> DataFrame:
     """Gap-only fill from visual rows: price below its keyword, dates on or below anchors, maker block.
 
@@ -157,7 +162,7 @@ def layout_rescue(decl: DataFrame, lines: DataFrame) -> DataFrame:
     from packlens.functions.text import all_matches, cs
     from packlens.functions.dates import parse_label_dates
 
-    gaps = decl.where("mrp IS NULL OR mfg_date IS NULL OR expiry_date IS NULL OR manufacturer_name IS NULL").select("scan_id")
+    gaps = with_gaps(decl).select("scan_id")
     order = ("y0", "x0", "first_ord")
     own = lines.join(gaps, "scan_id", "left_semi").groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(*order, "text", "y1"))).alias("__rows"))
     df = decl.join(own, "scan_id", "left")

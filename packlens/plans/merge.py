@@ -12,7 +12,7 @@ from packlens.operators.barcodes import cards_of
 from packlens.operators.extraction import extract_declarations
 from packlens.operators.guidance import annotated_array
 from packlens.operators.layout import visual_lines
-from packlens.operators.patches import layout_rescue
+from packlens.operators.patches import layout_rescue, with_gaps
 from packlens.session import settle
 
 BOX_LIMIT = 500
@@ -56,7 +56,7 @@ def merge_scan(frames: DataFrame, *, uploads: DataFrame | None = None, names: Da
     ``frames``: scan_id, frame_index, ocr_confidence, text, font_mm, letter_mm, ratio, has_boxes, and what ``OPTIONAL`` names. ``uploads``: scan_id and
     what ``UPLOAD`` names, one row per scan. ``names``: known makers (name, position). Frame choice, line union and
     their join shuffle nothing where frames lie by scan, as callers deal what frames are made from: boxes are many times as large. Text comes from the whole union and only the stored text is cut. Gaps in the union's fields are filled from the
-    visual rows of the best frame's boxes; measurements come from the measured frame, confidence, engine and barcode cards from the best one.
+    visual rows of the best frame's boxes, which are made for scans with gaps only; measurements come from the measured frame, confidence, engine and barcode cards from the best one.
     """
     needed = ("scan_id", "frame_index", "ocr_confidence", "text", "font_mm", "letter_mm", "ratio", "has_boxes")
     dealt = frames.select(*needed, *_or_null(frames, OPTIONAL))
@@ -73,12 +73,12 @@ def merge_scan(frames: DataFrame, *, uploads: DataFrame | None = None, names: Da
     else:
         merged = merged.select("*", *_or_null(merged, UPLOAD))
     given = {"is_embossed": F.coalesce("is_embossed", F.lit(is_embossed)), "panel_area_cm2": F.coalesce("panel_area_cm2", F.lit(panel_area_cm2).cast("double"))}
-    merged = settle(merged.withColumns(given).withColumnsRenamed({c: f"u_{c}" for c in given}), "merged")
+    merged = merged.withColumns(given).withColumnsRenamed({c: f"u_{c}" for c in given})
 
     decl = extract_declarations(merged, names)
     if "boxes" in frames.columns:
         decl = settle(decl, "merged-declarations")
-        words = decl.where("size(best_boxes) > 0").select("scan_id", "best_boxes").repartition("scan_id").select("scan_id", F.inline("best_boxes"))
+        words = with_gaps(decl).where("size(best_boxes) > 0").select("scan_id", "best_boxes").repartition("scan_id").select("scan_id", F.inline("best_boxes"))
         decl = layout_rescue(decl, settle(visual_lines(words), "merged-rows"))
     decl = decl.withColumns({
         "min_numeral_height_mm": F.col("font_mm"), "min_letter_height_mm": F.col("letter_mm"), "min_width_to_height_ratio": F.col("ratio"),

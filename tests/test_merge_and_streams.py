@@ -104,3 +104,32 @@ def test_captures_lie_by_scan_before_their_boxes_are_made(spark, monkeypatch):
     chosen = choose_frames(captures.withColumns({c: F.lit(None).cast(k) for c, k in (("ocr_engine", "string"), ("coord_w", "int"), ("coord_h", "int"), ("ppm", "double"))}))
     assert "ENSURE_REQUIREMENTS" not in chosen._jdf.queryExecution().executedPlan().toString()
     assert chosen.count() == 6
+
+
+def test_merge_lays_out_scans_with_gaps_only(spark, monkeypatch):
+    from packlens.plans import merge
+
+    text = "Mustard Oil\nAcme Foods, Plot 1, Delhi 110001\nMfg: 22/12/2025 Exp: 18/02/2026"
+    rows = [(1, 0, 90.0, f"{text}\nMRP Rs. 50.00", "7.00"), (2, 0, 90.0, f"{text}\nMRP", "60.00"), (2, 0, 80.0, "MRP", "60.00"), (3, 0, 90.0, "MRP", None), (None, 0, 90.0, "MRP", "9.00")]
+    frames = spark.createDataFrame(rows, "scan_id long, frame_index int, ocr_confidence double, text string, amount string").selectExpr(
+        "scan_id", "frame_index", "ocr_confidence", "text", "cast(null as double) font_mm", "cast(null as double) letter_mm", "cast(null as double) ratio", "true has_boxes",
+        f"if(amount is null, null, array(named_struct('ord', 1L, 'text', 'MRP', 'x', 0, 'y', 0, 'w', 30, 'h', 20, 'confidence', 80D), "
+        f"named_struct('ord', 2L, 'text', amount, 'x', 0, 'y', 40, 'w', 50, 'h', 20, 'confidence', 80D))) boxes")
+    laid = []
+    real = merge.visual_lines
+    monkeypatch.setattr(merge, "visual_lines", lambda words: laid.append(words) or real(words))
+    got = {r["scan_id"]: r["mrp"] for r in merge.merge_scan(frames).collect()}
+    assert (got[1], got[2], got[3]) == (50.0, 60.0, None)
+    assert {r["scan_id"] for r in laid[0].select("scan_id").distinct().collect()} == {2, None}
+
+
+def test_settled_tables_leave_no_shuffle_files(spark, tmp_path):
+    from packlens.session import settle
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, df = spark.conf.get(key), spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(3, "k")
+    held = blocks.getAllFiles().size()
+    kept = settle(df, "dealt")
+    assert blocks.getAllFiles().size() <= held and spark.conf.get(key) == before
+    assert kept.count() == df.count() == 1000
