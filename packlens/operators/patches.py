@@ -158,7 +158,7 @@ def layout_rescue(decl: DataFrame, lines: DataFrame) -> DataFrame:
 
     Only scans with a gap take part. The rows of a scan, in reading order, come to its declaration as one array, so every look at them is a step inside the row.
     """
-    from packlens.functions.fields import extract_maker, first_where
+    from packlens.functions.fields import GATED_NUTRITION, extract_maker, first_where
     from packlens.functions.text import all_matches, cs
     from packlens.functions.dates import parse_label_dates
 
@@ -182,12 +182,12 @@ def layout_rescue(decl: DataFrame, lines: DataFrame) -> DataFrame:
         return F.when(a.isNotNull(), F.concat(here, F.transform(below(a, 1), lambda r: r["text"]))).otherwise(F.array().cast("array<string>"))
 
     def price(r: Column) -> Column:
-        ok = ~r["text"].rlike(ci(fv.P_MRP_POISON)) & ~r["text"].rlike(ci(fv.P_NUTRITION))
+        ok = ~r["text"].rlike(ci(fv.P_MRP_POISON)) & ~r["text"].rlike(ci(GATED_NUTRITION))
         return F.when(ok, plain_number(first_match(strip(r["text"]), cs(fv.P_MRP_AMOUNT_LINE))))
 
     no_name, no_date = F.col("manufacturer_name").isNull(), F.col("mfg_date").isNull() | F.col("expiry_date").isNull()
     df = stage(df, __mrp=F.when(F.col("mrp").isNull(), anchor(ci(fv.P_MRP_KEYWORD))), __mfg=F.when(no_date, anchor(ci(fv.P_MFG_LINE))), __exp=F.when(no_date, anchor(ci(fv.P_EXP_LINE))))
-    dated = F.filter(F.concat(said(F.col("__mfg")), said(F.col("__exp"))), lambda t: ~t.rlike(ci(fv.P_NUTRITION)))
+    dated = F.filter(F.concat(said(F.col("__mfg")), said(F.col("__exp"))), lambda t: ~t.rlike(ci(GATED_NUTRITION)))
     prices = F.transform(below(F.col("__mrp"), 2), price)
     df = stage(df, r_mrp=F.when(F.col("__mrp").isNotNull(), F.get(F.filter(prices, lambda p: p > 0), 0)),
                __tokens=F.when(no_date, F.array_distinct(F.flatten(F.transform(dated, lambda t: all_matches(t, "(?U)" + fv.P_DATE_SHAPE))))),

@@ -37,3 +37,23 @@ def test_near_miss_words_and_guards(rows):
     assert rows[3].net_quantity_value is None
     assert rows[4].mrp == 120.5 and str(rows[4].mfg_date) == "2025-01-01" and str(rows[4].expiry_date) == "2026-02-01"
     assert rows[5].field_sources == {}
+
+
+def test_first_characters_rule_no_match_out(spark):
+    from pyspark.sql import functions as F
+
+    from packlens import fixed_values as fv
+    from packlens.functions import fields as ff
+    from packlens.functions.text import ci
+
+    words = ("MRP Rs. 5.00|M.R.P. 7|maximum retail price 8|retail price 9|maxim retail price 1|per 100 g|PROTÉINE|protéin|énergie|ENERGY|/ serve|servings|water|oil|butter|tomato|flour|ſalt|SALT|salt|honey|recipe|"
+             "Kcal|kcal|ıngredients|İngredients|ingrédient|%RDA|valeur nutritionnelle|nutrition information|mfg 01/02/2024|meg 1/2024|packed: June 2024|pkd 2024/01|mfd 2024/01|exp 01/02/24|best before 6 months|"
+             "UſE BY June 2024|use by June 2024|customer care a@b.in|conſumer care 1800 11|helpline 1800 22|toll free +91 12345 6|net qty 5 g|det wt 6 kg|nct vol 7 ml|manufactured by|mktd by|regd. office|registered office|"
+             "mfd for|batch|fſſai|lic no|care|net q|exp|keep|store|dispose|litter|recycle|under brand|brand licence|do not|lot|contents|ingredients|cup|tbsp|x|1|").split("|")
+    texts = spark.createDataFrame([(f"{before}{w}{after}",) for w in words for before in ("", "a ", "aa", "7") for after in ("", " z", "12")], "t string")
+    kinds = [n.removeprefix("GATED_") for n in vars(ff) if n.startswith("GATED_")]
+    assert {"MRP", "NUTRITION", "MFG", "EXP", "MAKER_ANCHOR"} <= set(kinds)
+    found = lambda p: F.regexp_extract_all("t", F.lit(ci(p)), F.lit(0))
+    rows = texts.select([F.struct(found(getattr(fv, f"P_{k}")).alias("plain"), found(getattr(ff, f"GATED_{k}")).alias("gated")).alias(k) for k in kinds]).collect()
+    assert all(r[k]["plain"] == r[k]["gated"] for r in rows for k in kinds)
+    assert all(any(r[k]["plain"] for r in rows) for k in kinds)
